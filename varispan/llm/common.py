@@ -140,3 +140,61 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         raise RuntimeError("components have not converged")
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+_P = np.uint64(0x9E3779B97F4A7C15 | 1)
+_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
+_powers: dict[str, np.ndarray] = {}
+
+
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """P ** i (or its inverse) mod 2 ** 64 for i < n; kept for ordinary chunk sizes."""
+    key = "inv" if inverse else "pow"
+    have = _powers.get(key)
+    if have is None or len(have) < n:
+        have = np.full(max(n, CHUNK_BYTES + 1), _P_INV if inverse else _P, np.uint64)
+        have[0] = 1
+        have = np.multiply.accumulate(have)
+        if n <= 4 * CHUNK_BYTES:
+            _powers[key] = have
+    return have[:n]
+
+
+#: ASCII white space as bytes.split() takes it: space, tab, line feed, vertical tab, form feed, return.
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+
+
+def words_of(raw: np.ndarray, off: np.ndarray, keep: np.ndarray | None = None):
+    """(start, end, row, hash) of the words in consecutive rows of bytes.
+
+    Words are runs of bytes that are not white space, or of the bytes marked in ``keep``; they never cross
+    rows. The hash is a polynomial in the A-Z-folded bytes mod 2 ** 64, so equal words have equal hashes.
+    """
+    base = off[0]
+    own = raw[base : off[-1]]
+    n = len(own)
+    if not n:
+        z = np.zeros(0, np.int64)
+        return z, z, z, np.zeros(0, np.uint64)
+    inside = keep[own] if keep is not None else ~SPACE[own]
+    first = np.empty(n, bool)
+    first[0] = inside[0]
+    np.logical_and(inside[1:], ~inside[:-1], out=first[1:])
+    edge = (off[:-1] - base)[off[:-1] < off[-1]]
+    first[edge] = inside[edge]
+    last = np.empty(n, bool)
+    last[-1] = inside[-1]
+    np.logical_and(inside[:-1], ~inside[1:], out=last[:-1])
+    tail = off[1:-1] - base - 1
+    tail = tail[tail >= 0]
+    last[tail] = inside[tail]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    row = np.searchsorted(off - base, start, side="right") - 1
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(FOLD[own].astype(np.uint64) * powers(n), out=total[1:])
+    h = (total[end] - total[start]) * powers(n, True)[start]
+    h ^= h >> np.uint64(29)
+    return start + base, end + base, row, h
