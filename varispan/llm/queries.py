@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import quality, simhash, tokens
 
 QUERIES = {
+    "op4_quality": quality.op4_quality,
+    "op9_tokens": tokens.op9_tokens,
     "op10_simhash": simhash.op10_simhash,
 }
 

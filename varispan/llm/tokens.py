@@ -37,8 +37,8 @@ class Encoder:
     """Ids of whole texts, equal to the library's own for a tokenizer that splits at spaces and lower-cases.
 
     The text is cut at spaces and line feeds, where this kind of tokenizer always cuts; each distinct piece is
-    encoded once. A letter run followed only by ASCII punctuation is cut between the two, where its
-    pre-tokenizer cuts as well. Pieces with "<|" (special tokens) are handed over as they are.
+    encoded once. A run of Latin letters followed only by ASCII punctuation is cut between the two,
+    where its pre-tokenizer cuts as well (not so where lower-casing or NFC makes a mark of a letter's end). Pieces with "<|" (special tokens) are handed over as they are.
     """
 
     def __init__(self, path: str):
@@ -86,7 +86,7 @@ class Encoder:
         chunk = code.dictionary
         plain = pc.invert(pc.match_substring(chunk, "<|"))
         low = pc.if_else(plain, pc.ascii_lower(chunk), chunk)
-        cut = pc.extract_regex(low, r"^(?P<w>\pL+)(?P<p>[!-/:-@\[-`{-~]+)$")
+        cut = pc.extract_regex(low, r"^(?P<w>[a-zA-ZÀ-ÖØ-öø-įı-ſ]+)(?P<p>[!-/:-@\[-`{-~]+)$")
         cut_ok = pc.and_(plain, pc.is_valid(cut))
         stem = pc.if_else(cut_ok, cut.field("w"), low)
         rest = pc.if_else(cut_ok, cut.field("p"), "")
