@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship
+
 #: Bytes of text that a numpy pass holds at once; whole batches would need many times their size.
 CHUNK_BYTES = 2 << 20
 
@@ -72,6 +74,12 @@ class Scratch:
             pass
 
 
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with this package on the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def text_buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes (uint8) and n + 1 offsets of a string column; null counts as empty.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, chunks, text_buffers, words_of
+from .common import Scratch, arrow_map, chunks, text_buffers, words_of
 
 FEATURES = ("length", "upper", "symbol", "exclaim", "pipe", "digit", "repeat", "echo", "word_length", "sentence", "line")
 D = len(FEATURES)
@@ -75,7 +75,7 @@ def features(docs: DataFrame) -> DataFrame:
             col = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1) * D, pa.int32()), pa.array(f.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), col], names=["doc_id", "f"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, _SCHEMA)
 
 
 @dataclass(frozen=True)
@@ -118,7 +118,7 @@ def fit(labelled: DataFrame, shrink: float = 0.1, ridge: float = 1e-3, temperatu
         k, i = np.indices(sums.shape)
         yield pa.RecordBatch.from_pydict({"k": k.ravel().astype(np.int32), "i": i.ravel().astype(np.int32), "v": sums.ravel()})
 
-    rows = labelled.where("quality in (0, 1)").select(F.col("quality").cast("int"), "f").mapInArrow(run, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
+    rows = arrow_map(labelled.where("quality in (0, 1)").select(F.col("quality").cast("int"), "f"), run, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
     sums = np.zeros((2, width))
     for r in rows:
         sums[r.k, r.i] = r.v
@@ -151,7 +151,7 @@ def score(feats: DataFrame, model: Model) -> DataFrame:
             s = model.score(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, D))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    return feats.select("doc_id", "f").mapInArrow(run, "doc_id long, score double")
+    return arrow_map(feats.select("doc_id", "f"), run, "doc_id long, score double")
 
 
 def fold(modulus: int):

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import quality, simhash, tokens
+from . import langid, mixing, quality, simhash, tokens, urlfilter
 
 QUERIES = {
+    "op2_urlfilter": urlfilter.op2_urlfilter,
+    "op3_mixing": mixing.op3_mixing,
     "op4_quality": quality.op4_quality,
+    "op7_langid": langid.op7_langid,
     "op9_tokens": tokens.op9_tokens,
     "op10_simhash": simhash.op10_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_urlfilter": urlfilter.SQL,
+    "op3_mixing": mixing.SQL,
+}

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, connected_components, text_buffers
+from .common import Scratch, arrow_map, connected_components, text_buffers
 
 BITS = 64
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fps = np.fromiter((fingerprint(raw[s:e].tobytes(), words) for s, e in zip(off[:-1], off[1:])), np.uint64, len(b))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _FP_SCHEMA)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, _FP_SCHEMA)
 
 
 def _bit_moments(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -79,7 +79,7 @@ def _bit_moments(fps: DataFrame) -> tuple[int, np.ndarray]:
             n += len(x)
         yield pa.RecordBatch.from_pydict({"i": np.arange(BITS * BITS + 1, dtype=np.int32), "v": np.append(total.ravel(), n)})
 
-    rows = fps.select("fp").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    rows = arrow_map(fps.select("fp"), run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     flat = np.zeros(BITS * BITS + 1)
     for r in rows:
         flat[r.i] = r.v

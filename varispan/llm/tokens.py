@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, arrow_map
 
 END = 1
 SHARD_SCHEMA = "part int, base long, first_id int, doc_id array<long>, n_tokens array<long>, first_symbol array<long>, rules binary, rule_length binary, symbols binary"
@@ -268,7 +268,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
             yield shard()[0]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
+    arrow_map(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"), run, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 _ARROW = pa.schema([("part", pa.int32()), ("base", pa.int64()), ("first_id", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("first_symbol", pa.list_(pa.int64())), ("rules", pa.binary()), ("rule_length", pa.binary()), ("symbols", pa.binary())])
@@ -316,7 +316,7 @@ def read_shards(spark, path: str) -> DataFrame:
                 first = np.array(s["first_symbol"], np.int64)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[row].values, pa.array(before[s["part"]] + s["base"] + ends - per), pa.array(per), pa.array(crc), pa.array(np.diff(np.append(first, len(symbols))))], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_symbols"])
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, n_symbols long")
+    return arrow_map(files, run, "doc_id long, start long, n_tokens long, ids_crc32 long, n_symbols long")
 
 
 def token_output(spark, docs: DataFrame, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
