@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality, simhash, tokens, urlfilter
+from . import decontaminate, langid, mixing, quality, simhash, tokens, urlfilter
 
 QUERIES = {
     "op2_urlfilter": urlfilter.op2_urlfilter,
     "op3_mixing": mixing.op3_mixing,
     "op4_quality": quality.op4_quality,
     "op7_langid": langid.op7_langid,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_tokens": tokens.op9_tokens,
     "op10_simhash": simhash.op10_simhash,
 }
