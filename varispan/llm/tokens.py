@@ -24,7 +24,7 @@ SHARD_SCHEMA = "part int, base long, first_id int, doc_id array<long>, n_tokens
 SHARD_IDS = 4_000_000
 SHARD_BYTES = 12 << 20
 #: Words whose ids a Python worker remembers; the store starts anew when full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 
 def default_tokenizer() -> str:
@@ -46,36 +46,33 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.size = self.tok.get_vocab_size()
-        self.known: dict[str, np.ndarray] = {}
-
-    def _new(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > CACHE_WORDS:
-            self.known = {}
-        for i in range(0, len(pieces), 20_000):
-            part = pieces[i : i + 20_000]
-            for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, np.uint32)
-
-    def _lookup(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces end to end, and how many each has. Pieces may repeat."""
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where each piece's ids are in the store: run i is flat[at[i] : at[i + 1]]. Pieces may repeat."""
         code = pc.dictionary_encode(pieces)
         words = code.dictionary.to_pylist()
+        if len(self.known) + len(words) > CACHE_WORDS:
+            self._forget()
         known = self.known
         new = [w for w in words if w not in known]
+        flat: list[int] = []
+        size: list[int] = []
+        for i in range(0, len(new), 20_000):
+            for e in self.tok.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False):
+                ids = e.ids
+                flat += ids
+                size.append(len(ids))
         if new:
-            self._new(new)
-            known = self.known
-            gone = [w for w in words if w not in known]  # the store began anew
-            if gone:
-                hold = dict(known)
-                for i in range(0, len(gone), 20_000):
-                    for p, e in zip(gone[i : i + 20_000], self.tok.encode_batch_fast(gone[i : i + 20_000], add_special_tokens=False)):
-                        hold[p] = np.array(e.ids, np.uint32)
-                known = hold
-        own = [known[w] for w in words]
-        flat = np.concatenate(own) if own else np.zeros(0, np.uint32)
-        size = np.fromiter(map(len, own), np.int64, len(own))
-        return ragged(flat, size, code.indices.to_numpy(zero_copy_only=False))
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            self.flat = np.concatenate([self.flat, np.array(flat, np.uint32)])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
+        place = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return place[code.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end with END after each, and the number per text. Null is empty."""
@@ -91,12 +88,9 @@ class Encoder:
         stem = pc.if_else(cut_ok, cut.field("w"), low)
         rest = pc.if_else(cut_ok, cut.field("p"), "")
         n = len(chunk)
-        both = pa.concat_arrays([stem, rest])
-        flat, size = self._lookup(both)
-        at = np.concatenate([[0], np.cumsum(size)])
-        # stem then rest of each chunk, end to end
-        order = np.arange(2 * n).reshape(2, n).T.ravel()
-        flat, size = gather(flat, at, order)
+        place = self._places(pa.concat_arrays([stem, rest]))
+        # stem then rest of each distinct chunk, end to end
+        flat, size = gather(self.flat, self.at, place.reshape(2, n).T.ravel())
         flat, size = ragged(flat, size.reshape(n, 2).sum(1), code.indices.to_numpy(zero_copy_only=False))
         ends = np.concatenate([[0], np.cumsum(size)])
         cuts = ends[np.concatenate([[0], np.cumsum(per_text)])]
@@ -126,7 +120,7 @@ def ragged(flat: np.ndarray, size: np.ndarray, order: np.ndarray) -> tuple[np.nd
 
 
 def repair(ids: np.ndarray, last: np.ndarray, first_id: int, rounds: int = 6, least: int = 24, most: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair: (symbols, positions of their first ids, rules as pairs).
+    """Re-Pair: (symbols, which of them end a document, rules as pairs).
 
     Each round counts all pairs of neighbours, takes up to ``most`` of the most frequent (``least`` or more
     occurrences) so that no id is the left of one and the right of another, and replaces every
@@ -135,7 +129,6 @@ def repair(ids: np.ndarray, last: np.ndarray, first_id: int, rounds: int = 6, le
     """
     wide = first_id >= 1 << 16
     seq = ids.astype(np.uint32)
-    pos = np.arange(len(seq))
     end = last.copy()
     rules: list[np.ndarray] = []
     made = 0
@@ -185,11 +178,11 @@ def repair(ids: np.ndarray, last: np.ndarray, first_id: int, rounds: int = 6, le
         end[hit] = end[hit + 1]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
-        seq, pos, end = seq[keep], pos[keep], end[keep]
+        seq, end = seq[keep], end[keep]
         rules.append(pair)
         made += len(pair)
     table = np.concatenate(rules).astype(np.uint32) if rules else np.zeros((0, 2), np.uint32)
-    return seq, pos, table
+    return seq, end, table
 
 
 def rule_lengths(rules: np.ndarray, first_id: int) -> np.ndarray:
@@ -205,10 +198,9 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_id
     flat: list[np.ndarray] = []
     for a, b in rules.tolist():
         flat.append(np.concatenate([flat[x - first_id] if x >= first_id else np.array([x], np.uint32) for x in (a, b)]))
-    used, code = np.unique(symbols, return_inverse=True)
-    own = [flat[x - first_id] if x >= first_id else np.array([x], np.uint32) for x in used.tolist()]
-    size = np.fromiter(map(len, own), np.int64, len(own))
-    return ragged(np.concatenate(own) if own else np.zeros(0, np.uint32), size, code)[0]
+    table = np.concatenate([np.arange(first_id, dtype=np.uint32), *flat])
+    at = np.concatenate([np.arange(first_id + 1), first_id + np.cumsum(lengths)])
+    return gather(table, at, symbols)[0]
 
 
 def pack(values: np.ndarray, wide: bool) -> bytes:
@@ -238,9 +230,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
             per = np.concatenate([x[2] for x in held])
             last = np.zeros(len(ids), bool)
             last[np.cumsum(per) - 1] = True
-            seq, pos, rules = repair(ids, last, enc.size)
+            seq, end, rules = repair(ids, last, enc.size)
             wide = enc.size >= 1 << 16
-            first = np.searchsorted(pos, np.cumsum(per) - per)
+            first = np.concatenate([[0], np.flatnonzero(end)[:-1] + 1])
             row = {
                 "part": part, "base": base, "first_id": enc.size,
                 "doc_id": pa.concat_arrays([x[0] for x in held]).to_pylist(), "n_tokens": per.tolist(), "first_symbol": first.tolist(),
