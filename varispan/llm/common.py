@@ -16,6 +16,7 @@ from ..deploy import ship
 #: Bytes of text that a numpy pass holds at once; whole batches would need many times their size.
 CHUNK_BYTES = 2 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: str | None = None
 
 
@@ -50,7 +51,15 @@ class Scratch:
 
     def save(self, df: DataFrame, label: str = "t") -> DataFrame:
         path = self.path(label)
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")  # what was shuffled for this table is of no further use
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._scratch = self

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, quality, simhash, tokens, urlfilter
+from . import decontaminate, langid, mixing, quality, simhash, suffixes, tokens, urlfilter
 
 QUERIES = {
     "op2_urlfilter": urlfilter.op2_urlfilter,
     "op3_mixing": mixing.op3_mixing,
     "op4_quality": quality.op4_quality,
+    "op5_suffixes": suffixes.op5_suffixes,
     "op7_langid": langid.op7_langid,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_tokens": tokens.op9_tokens,
