@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from varispan.llm import simhash
+from varispan.llm import decontaminate, mixing, quality, simhash, tokens
 from varispan.llm.common import Scratch
 
 STAGES = [
+    ("quality classifier", quality.stage),
     ("simhash near-dedup", simhash.stage),
+    ("benchmark decontamination", decontaminate.stage),
+    ("mixing to target weights", mixing.stage),
+    ("token-id output", tokens.stage),
 ]
 
 #: No SQL: the stages hold a trained classifier, a latent-space search and a tokenizer.
