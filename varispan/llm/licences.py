@@ -51,8 +51,8 @@ def _literal(rows, names) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows])
 
 
-def line_scores(files: DataFrame) -> DataFrame:
-    """(file, line_no, licence, score): the best template of each line with a cue, by cosine. ``files``: file, text."""
+def line_scores(files: DataFrame, scratch: Scratch) -> DataFrame:
+    """(file, line_no, words, licence, score): the best template of each line with a cue, by cosine, and the words of its whole file. ``files``: file, text."""
     spark = files.sparkSession
     rows, idf, rest = template_weights()
     one = spark.range(1)
@@ -62,16 +62,18 @@ def line_scores(files: DataFrame) -> DataFrame:
     cue = low.contains(CUES[0])
     for c in CUES[1:]:
         cue = cue | low.contains(c)
-    lines = files.where(cue).select("file", F.posexplode(F.split("text", "\n")).alias("line_no", "text")).where(cue)
+    words = F.regexp_count("text", F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long").alias("words")
+    lines = files.where(cue).select("file", words, F.posexplode(F.split("text", "\n")).alias("line_no", "text")).where(cue)
     # a line's bag, counted inside its row; one row per distinct token
-    tokens = lines.select("file", "line_no", F.explode(F.regexp_extract_all(low, F.lit(_TOKEN), F.lit(0))).alias("token")).groupBy("file", "line_no", "token").agg(F.count("*").alias("n"))
+    tokens = lines.select("file", "line_no", "words", F.explode(F.regexp_extract_all(low, F.lit(_TOKEN), F.lit(0))).alias("token"))
+    tokens = scratch.save(tokens.groupBy("file", "line_no", "token").agg(F.count("*").alias("n"), F.max("words").alias("words")), "tokens")
     # both tables are TEMPLATES' own, of known size
     tokens = tokens.join(F.broadcast(idfs), "token", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(rest)))
-    norms = tokens.groupBy("file", "line_no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    norms = tokens.groupBy("file", "line_no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.max("words").alias("words"))
     dots = tokens.join(F.broadcast(weights.withColumnRenamed("w", "tw")), "token").groupBy("file", "line_no", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     scored = dots.join(norms, ["file", "line_no"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 4))
     top = F.max(F.struct("score", F.col("licence"))).alias("best")
-    return scored.groupBy("file", "line_no").agg(top).select("file", "line_no", "best.licence", "best.score")
+    return scored.groupBy("file", "line_no").agg(top, F.max("words").alias("words")).select("file", "line_no", "words", "best.licence", "best.score")
 
 
 def scan(docs: DataFrame, path: str = PATH, file_id: str = "doc_id") -> DataFrame:
@@ -87,12 +89,10 @@ def scan(docs: DataFrame, path: str = PATH, file_id: str = "doc_id") -> DataFram
     """
     scratch = Scratch(docs.sparkSession, "licences")
     base = docs.withColumn("_path", F.expr(path)).select(F.col(file_id).cast("long").alias("doc_id"), F.col("_path").alias("path"), F.col("text").cast("string").alias("text"))
-    scores = line_scores(base.select(F.col("path").alias("file"), "text")).where(F.col("score") >= LEAST)
-    best = scores.groupBy("file").agg(F.max(F.struct("score", "licence")).alias("b"), F.count("*").alias("lines")).select("file", "b.licence", "b.score", "lines")
+    scores = line_scores(base.select(F.col("path").alias("file"), "text"), scratch).where(F.col("score") >= LEAST)
+    best = scores.groupBy("file").agg(F.max(F.struct("score", "licence")).alias("b"), F.count("*").alias("lines"), F.max("words").alias("words")).select("file", "b.licence", "b.score", "lines", "words")
     best = scratch.save(best, "headers")
-    words = F.regexp_count("text", F.lit(r"[^ \t\n\x0B\f\r]+"))
-    rows = base.select("doc_id", "path", F.coalesce(words, F.lit(0)).alias("words"))
-    rows = scratch.save(rows.join(best, rows.path == best.file, "left").drop("file"), "rows")
+    rows = base.select("doc_id", "path").join(best, F.col("path") == F.col("file"), "left").drop("file")
     folder = F.regexp_extract("path", r"(?s)^(.*)/[^/]*$", 1)
     name = F.upper(F.regexp_extract("path", r"(?s)([^/]*)$", 1))
     is_file = name.rlike(r"^(LICEN[CS]E|COPYING)(\..*)?$") | (F.col("words") - F.lit(12) * F.col("lines") <= MOST_OTHER_WORDS)
@@ -102,7 +102,7 @@ def scan(docs: DataFrame, path: str = PATH, file_id: str = "doc_id") -> DataFram
     parts = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("up")))).alias("a")).select("dir", "a.depth", "a.up")
     near = above.join(known.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max(F.struct("depth", "up", "dir_licence", "dir_score")).alias("n"))
-    near = scratch.save(near.select(F.col("dir").alias("own"), "n.up", "n.dir_licence", "n.dir_score"), "near")
+    near = near.select(F.col("dir").alias("own"), "n.up", "n.dir_licence", "n.dir_score")
     out = rows.withColumn("dir", folder).join(near, F.col("dir") == F.col("own"), "left")
     header = F.col("licence").isNotNull()
     return out.select(
