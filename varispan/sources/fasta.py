@@ -35,12 +35,11 @@ def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
     parallel and no header is matched to its lines by position.
     """
     # the first record keeps its own mark; the others have lost it to the separator
-    raw = spark.read.option("lineSep", "\n>").text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    raw = spark.read.option("lineSep", "\n>").text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
     body = F.regexp_replace("value", "^>", "")
     header = F.regexp_extract(body, r"^([^\r\n]*)", 1)
     seq = F.regexp_replace(F.regexp_replace(body, r"^[^\r\n]*", ""), r"\s+", "")
-    headless = (F.col("at") == 0) & ~F.col("value").startswith(">") & F.lit(False)
-    return raw.where(~headless).select("file", label_of(F.col("file")).alias("label"), F.regexp_extract(header, r"^\s*(\S*)", 1).alias("seq_id"), seq.alias("seq")).where("seq <> ''")
+    return raw.select("file", label_of(F.col("file")).alias("label"), F.regexp_extract(header, r"^\s*(\S*)", 1).alias("seq_id"), seq.alias("seq")).where("seq <> ''")
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
