@@ -9,6 +9,7 @@ that Spark writes, so the commit protocol covers lost executors and any Hadoop f
 from __future__ import annotations
 
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -59,19 +60,21 @@ class Encoder:
         if len(self.known) + len(words) > CACHE_WORDS:
             self._forget()
         known = self.known
-        new = [w for w in words if w not in known]
-        flat: list[int] = []
-        size: list[int] = []
-        for i in range(0, len(new), 20_000):
-            for e in self.tok.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False):
-                ids = e.ids
-                flat += ids
-                size.append(len(ids))
-        if new:
+        place = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            new = [words[i] for i in fresh.tolist()]
+            flat: list[int] = []
+            size: list[int] = []
+            for i in range(0, len(new), 20_000):
+                for e in self.tok.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False):
+                    ids = e.ids
+                    flat += ids
+                    size.append(len(ids))
+            place[fresh] = np.arange(len(known), len(known) + len(new))
             known.update(zip(new, range(len(known), len(known) + len(new))))
             self.flat = np.concatenate([self.flat, np.array(flat, np.uint32)])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
-        place = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         return place[code.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -167,14 +170,19 @@ def repair(ids: np.ndarray, last: np.ndarray, first_id: int, rounds: int = 6, le
         pair = np.array(taken, np.int64)
         ls, rs = np.unique(pair[:, 0]), np.unique(pair[:, 1])
         top = int(max(seq.max(), pair.max())) + 1
-        lrank, rrank = np.zeros(top, np.int32), np.zeros(top, np.int32)
+        kind = np.int16 if most < 1 << 15 else np.int32
+        lrank, rrank = np.zeros(top, kind), np.zeros(top, kind)
         lrank[ls], rrank[rs] = np.arange(1, len(ls) + 1), np.arange(1, len(rs) + 1)
         table = np.zeros((len(ls) + 1, len(rs) + 1), np.uint32)
         table[lrank[pair[:, 0]], rrank[pair[:, 1]]] = first_id + made + np.arange(len(pair))
-        new = table[lrank[seq[:-1]], rrank[seq[1:]]]
-        new[~joint] = 0
-        hit = np.flatnonzero(new)
-        seq[hit] = new[hit]
+        # only places whose id is some rule's left side are looked at further
+        hit = np.flatnonzero(lrank[seq[:-1]])
+        right = rrank[seq[hit + 1]]
+        hit, right = hit[right > 0], right[right > 0]
+        new = table[lrank[seq[hit]], right]
+        made_here = (new > 0) & joint[hit]
+        hit = hit[made_here]
+        seq[hit] = new[made_here]
         end[hit] = end[hit + 1]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
