@@ -87,7 +87,8 @@ def test_merged_transforms_sort_all_suffixes():
 
 
 def test_kept_text(spark):
-    t = "".join(random.Random(4).choice("abcdef") for _ in range(300))
+    rng = random.Random(4)
+    t = "".join(rng.choice("abcdef") for _ in range(300))
     df = spark.createDataFrame([(1, t), (2, "pre " + t + " post")], "doc_id long, text string")
     got = {r.doc_id: bytes(r.kept) for r in suffixes.dedup(df, keep_text=True).collect()}
     assert got == {1: t.encode(), 2: b"pre  post"}
