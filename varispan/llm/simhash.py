@@ -42,9 +42,8 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.fromiter((digest(flat[s:e], 42) for s, e in zip(start[:n].tolist(), end[words - 1 :].tolist())), np.uint64, n)
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """Unsigned fingerprint: a bit is one if it is set in over half of the shingle hashes; no words: 0."""
-    h = shingle_hashes(text, words)
+def majority(h: np.ndarray) -> int:
+    """Unsigned fingerprint of shingle hashes: a bit is one if it is set in over half of them; none: 0."""
     if not len(h):
         return 0
     by = h.astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -55,6 +54,10 @@ def fingerprint(text: bytes, words: int) -> int:
     return value
 
 
+def fingerprint(text: bytes, words: int) -> int:
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp as signed long) of each row; null text counts as empty."""
 
@@ -211,9 +214,170 @@ def op10_simhash(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# --- documents by their similarity ---
+
+#: Min-hash bands beside the fingerprint: pairs of similarity 0.8 share one of BANDS with a chance of 0.9999.
+BANDS, ROWS = 24, 5
+#: Up to so many texts of a band are compared each with each; in larger ones all are compared to the first and the last, then
+#: up to OUTSIDERS texts that this leaves outside the band's largest group are compared to all of the band.
+SMALL, OUTSIDERS = 8, 64
+_FACTORS = (np.random.default_rng(17).integers(0, 1 << 31, BANDS * ROWS, dtype=np.int64) * 2 + 1).astype(np.uint32)
+_SKETCH = "doc_id long, th long, fp long, node long, bands array<long>"
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """One key per band of the least products of the (distinct) hashes."""
+    u = (h >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
+    for i in range(0, len(u), 2048):
+        np.minimum(least, (u[i : i + 2048, None] * _FACTORS).min(0), out=least)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = (key ^ column) * np.uint64(0xD6E8FEB86659FD93)
+        key ^= key >> np.uint64(32)
+    return key
+
+
+def _text_key():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """Per row: doc_id, th (hash of the text), fp, node (hash of the set of shingles) and band keys."""
+
+    def run(batches):
+        for b in batches:
+            raw, off = text_buffers(b.column(2))
+            fps, nodes, keys = np.zeros(len(b), np.uint64), np.zeros(len(b), np.uint64), np.zeros((len(b), BANDS), np.uint64)
+            for i, (s, e) in enumerate(zip(off[:-1], off[1:])):
+                h = shingle_hashes(raw[s:e].tobytes(), words)
+                own = np.unique(h)
+                fps[i], nodes[i], keys[i] = majority(h), xxhash.xxh64_intdigest(own.tobytes(), 1), band_keys(own)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64)), bands], names=["doc_id", "th", "fp", "node", "bands"])
+
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("th"), F.col("text").cast("string").alias("text")), run, _SKETCH)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def near_prints(nodes: DataFrame, tau: int, scratch: Scratch) -> DataFrame:
+    """(a, b) of nodes (node, fp) whose fingerprints are within ``tau`` bits, enough to connect them."""
+    reps = scratch.save(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
+    return links(reps, tau, scratch).unionByName(nodes.join(reps, "fp").select(F.col("node").alias("a"), F.col("rep").alias("b")))
+
+
+def hub_pairs(met: DataFrame) -> DataFrame:
+    """(a, b) to compare first in the bands of ``met`` (key, node)."""
+    sizes = met.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).where("n > 1")
+    known = met.join(sizes, "key")
+    hubs = known.select(F.col("node").alias("a"), F.explode(F.array("first", "last")).alias("b"))
+    few = known.where(F.col("n") <= SMALL).select("key", "node")
+    each = few.alias("x").join(few.alias("y"), "key").where("x.node > y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return hubs.unionByName(each)
+
+
+def open_bands(met: DataFrame, roots: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of bands that still hold several groups: the pairs (a, b) of outsiders with all members of other groups, where there are up to
+    OUTSIDERS, and the (key, node) of bands with more. A member is so in OUTSIDERS pairs of a band at most."""
+    named = scratch.save(met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "named")
+    groups = named.groupBy("key", "root").agg(F.count("*").alias("n"))
+    bands = groups.groupBy("key").agg((F.sum("n") - F.max("n")).alias("outside"), F.max_by("root", F.struct("n", "root")).alias("main")).where("outside > 0")
+    bands = scratch.save(bands, "open")
+    some = bands.where(F.col("outside") <= OUTSIDERS)
+    out = named.join(some, "key").where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
+    pairs = named.join(out, "key").where("root <> root_a").select("a", F.col("node").alias("b"))
+    return pairs, named.join(bands.where(F.col("outside") > OUTSIDERS), "key", "left_semi").select("key", "node")
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The (a, b) whose sets of shingles have a Jaccard similarity of ``similarity`` or more. ``texts``: node, text, one row each."""
+
+    def run(batches):
+        known: tuple = (None, None)
+        for b in batches:
+            a, z = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            bodies = [text_buffers(b.column(i)) for i in (2, 3)]
+            good = np.zeros(len(b), bool)
+            for i in range(len(b)):
+                x, y = (np.unique(shingle_hashes(raw[off[i] : off[i + 1]].tobytes(), words)) if k or known[0] != z[i] else known[1] for k, (raw, off) in ((1, bodies[0]), (0, bodies[1])))
+                known = (z[i], y)
+                # sizes alone can rule a pair out
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    good[i] = both >= similarity * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(z[good])], names=["a", "b"])
+
+    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return arrow_map(two.select("a", "b", "text_a", "text_b"), run, "a long, b long")
+
+
+def _group(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, tau: int, scratch: Scratch) -> DataFrame:
+    """(node, root) of the nodes with a link."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), _text_key().alias("_th"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    place = nodes.select("node", F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"))
+    shared = nodes.select("node", F.explode("bands").alias("key"))
+    many = shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = scratch.save(shared.join(many, "key", "left_semi"), "bands")
+    # texts that meet another one; pairs of all rounds are among them or among near fingerprints
+    prints = scratch.save(_ordered(near_prints(nodes, tau, scratch)), "prints")
+    ids = met.select("node").unionByName(prints.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    texts = scratch.save(rows.join(ids.join(place, "node"), ["_id", "_th"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+    tested, edges = None, None
+
+    def settle(pairs: DataFrame) -> DataFrame:
+        nonlocal tested, edges
+        pairs = _ordered(pairs)
+        fresh = scratch.save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        good = scratch.save(similar_pairs(fresh, texts, words, similarity), "links")
+        tested = fresh if tested is None else tested.unionByName(fresh)
+        edges = good if edges is None else edges.unionByName(good)
+        return scratch.save(connected_components(edges, scratch), "roots")
+
+    roots = settle(prints.unionByName(hub_pairs(met)))
+    pairs, mixed = open_bands(met, roots, scratch)
+    roots = settle(pairs)
+    mixed = scratch.save(mixed, "mixed")
+    if mixed.limit(1).count():
+        again = mixed.join(shared.withColumnRenamed("key", "other"), "node").where("key <> other")
+        parts = again.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node").distinct()
+        met = scratch.save(parts.join(parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"), "parts")
+        roots = settle(hub_pairs(met))
+        roots = settle(open_bands(met, roots, scratch)[0])
+    scratch.drop(texts)
+    return roots
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, tau: int = 2) -> DataFrame:
+    """One row per input row: doc_id, th (xxhash64 of its text, null as empty), component_id (smallest doc_id reachable).
+
+    Documents link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more. Candidates
+    are fingerprints within ``tau`` bits and, as a pair at 0.8 is some ten bits apart, texts that share a
+    min-hash band; every candidate is settled on the whole texts, so nothing links that is less alike. Texts without words are alike.
+    Bands of any size are worked through: all of a band meet two of it, and those that this leaves outside its largest group meet all;
+    where these are many, the band is split by a second band that its texts share. Only links in such a part with many outsiders
+    again can be missed. Copies count once, so a large group of them costs one comparison. Null ids and repeated rows are as in ``near_duplicates``.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    by_doc = scratch.save(sketches(docs, words), "sketches")
+    first = F.min(F.struct("doc_id", "th")).alias("first")
+    nodes = scratch.save(by_doc.where("doc_id is not null").groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), first), "nodes")
+    roots = _group(docs, nodes, words, similarity, tau, scratch)
+    named = nodes.select("node", F.col("first.doc_id").alias("doc_id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of_node = named.select("node", "root").join(ids, "root").select("node", "component_id")
+    return by_doc.select("doc_id", "th", "node").join(of_node, "node", "left").select("doc_id", "th", "component_id")
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group one row of smallest doc_id stays; rows with a null doc_id stay."""
-    groups = near_duplicates(docs)
-    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
+    """Pipeline stage: of each group of similar documents the one of smallest doc_id stays, once; rows with a null doc_id stay."""
+    groups = similar_documents(docs)
+    gone = Scratch(spark, "dropped").save(groups.where("doc_id <> component_id").select("doc_id", F.col("th").alias("_th")).distinct())
+    known = docs.where("doc_id is not null").withColumn("_th", _text_key())
+    kept = known.join(gone, ["doc_id", "_th"], "left_anti")
+    # of a document given twice one row stays
+    kept = kept.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
