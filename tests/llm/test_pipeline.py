@@ -17,7 +17,7 @@ def test_stages_take_effect_in_order(spark, sf):
     ids = [sorted(r.doc_id for r in d.select("doc_id").collect()) for d in seen]
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     assert ids[1] == sorted(r.doc_id for r in quality.classify(docs, labels).collect() if r.predicted)
-    assert ids[2] == sorted({r.component_id for r in simhash.near_duplicates(seen[1]).collect()})
+    assert ids[2] == sorted({r.component_id for r in simhash.similar_documents(seen[1]).collect()})
     found = {r.doc_id for r in decontaminate.find(seen[2], spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert found and ids[3] == sorted(set(ids[2]) - found)
     assert ids[4] == sorted(r.doc_id for r in mixing.mixed(seen[3]).collect() if r._epochs or r._prefix)

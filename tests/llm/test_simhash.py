@@ -64,6 +64,52 @@ def test_links_equal_brute_force_at_any_bucket_size(spark, bucket):
     assert {i: got.get(i, i) for i, _ in rows} == want
 
 
+def plain_similar(rows, words, least):
+    """{id: smallest id reachable} over Jaccard similarities of all pairs."""
+    sets = {i: set(simhash.shingle_hashes((t or "").encode(), words).tolist()) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            a, b = sets[i], sets[j]
+            if min(len(a), len(b)) >= least * max(len(a), len(b)) and len(a & b) >= least * len(a | b):
+                p, q = sorted((top(i), top(j)))
+                parent[q] = p
+    return {i: top(i) for i in ids}
+
+
+def test_similar_documents_equal_brute_force(spark, sf, texts):
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    want = plain_similar(texts, 5, 0.8)
+    assert got == want and len(set(want.values())) < len(want)
+
+
+@pytest.mark.parametrize("small, outsiders", [(0, 64), (8, 64), (0, 2)])
+def test_similarity_is_settled_on_whole_texts(spark, monkeypatch, small, outsiders):
+    """Near copies of a long and a short text at growing distance; large bands go by their hubs, mixed ones are split."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "OUTSIDERS", outsiders)
+    rng = random.Random(6)
+    rows = []
+    for base, n in ((0, 60), (1000, 900)):
+        text = [f"t{rng.randrange(5000)}" for _ in range(n)]
+        rows.append((base, " ".join(text)))
+        for k in range(1, 40):
+            own = list(text)
+            for j in rng.sample(range(n), max(1, n * k // 400)):
+                own[j] = f"x{rng.random()}"
+            rows.append((base + k, " ".join(own)))
+    rows += [(2000 + k, " ".join(f"y{rng.random()}" for _ in range(50))) for k in range(20)] + [(3000, "Same Words"), (3001, "same  words"), (3002, "same words more")]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_similar([(i, t.lower()) for i, t in rows], 5, 0.8)
+
+
 def test_allocation_covers_the_distance():
     """Thresholds sum to tau + 1 with one added to each: the generalised pigeonhole bound."""
     import numpy as np
