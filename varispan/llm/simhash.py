@@ -287,8 +287,13 @@ def open_bands(met: DataFrame, roots: DataFrame, scratch: Scratch) -> tuple[Data
     bands = groups.groupBy("key").agg((F.sum("n") - F.max("n")).alias("outside"), F.max_by("root", F.struct("n", "root")).alias("main")).where("outside > 0")
     bands = scratch.save(bands, "open")
     some = bands.where(F.col("outside") <= OUTSIDERS)
-    out = named.join(some, "key").where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    pairs = named.join(out, "key").where("root <> root_a").select("a", F.col("node").alias("b"))
+    member = scratch.save(named.join(some, "key").select("key", "node", "root", "main"), "members")
+    # a pair that shares several such bands is told in one of them; the lists have a node's own bands
+    keys = member.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    out = member.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
+    mine = out.groupBy("a").agg(F.collect_set("key").alias("mine"))
+    once = F.array_min(F.array_intersect("mine", "keys")) == F.col("key")
+    pairs = member.select("key", "node", "root").join(keys, "node").join(out.join(mine, "a"), "key").where((F.col("root") != F.col("root_a")) & once).select("a", F.col("node").alias("b"))
     return pairs, named.join(bands.where(F.col("outside") > OUTSIDERS), "key", "left_semi").select("key", "node")
 
 
