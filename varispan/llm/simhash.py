@@ -221,6 +221,9 @@ BANDS, ROWS = 24, 5
 #: Up to so many texts of a band are compared each with each; in larger ones all are compared to the first and the last, then
 #: up to OUTSIDERS texts that this leaves outside the band's largest group are compared to all of the band.
 SMALL, OUTSIDERS = 8, 64
+#: Bytes of a batch of text pairs.
+PAIR_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _FACTORS = (np.random.default_rng(17).integers(0, 1 << 31, BANDS * ROWS, dtype=np.int64) * 2 + 1).astype(np.uint32)
 _SKETCH = "doc_id long, th long, fp long, node long, bands array<long>"
 
@@ -337,7 +340,13 @@ def _group(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, tau
         nonlocal tested, edges
         pairs = _ordered(pairs)
         fresh = scratch.save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        good = scratch.save(similar_pairs(fresh, texts, words, similarity), "links")
+        # a row holds two whole texts, so batches are cut by bytes; a longer row stands alone
+        conf, before = scratch.spark.conf, scratch.spark.conf.get(_BATCH, None)
+        conf.set(_BATCH, str(PAIR_BYTES))
+        try:
+            good = scratch.save(similar_pairs(fresh, texts, words, similarity), "links")
+        finally:
+            conf.unset(_BATCH) if before is None else conf.set(_BATCH, before)
         tested = fresh if tested is None else tested.unionByName(fresh)
         edges = good if edges is None else edges.unionByName(good)
         return scratch.save(connected_components(edges, scratch), "roots")
