@@ -110,6 +110,33 @@ def test_similarity_is_settled_on_whole_texts(spark, monkeypatch, small, outside
     assert got == plain_similar([(i, t.lower()) for i, t in rows], 5, 0.8)
 
 
+@pytest.mark.parametrize("outsiders", [2, 128])
+def test_links_in_a_crowd_just_below_the_threshold(spark, monkeypatch, outsiders):
+    """Texts of one template at a mutual similarity of 0.78, some pairs of them at 0.815 or 0.85: all share bands, few link."""
+    monkeypatch.setattr(simhash, "OUTSIDERS", outsiders)
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(400)]
+    rows = []
+    for k in range(200):
+        rows.append((k, template + [f"x{rng.random()}" for _ in range(56)]))
+        if k % 5 == 0:
+            same = 10 if k % 2 else 20
+            rows.append((1000 + k, rows[-1][1][: 400 + same] + [f"x{rng.random()}" for _ in range(56 - same)]))
+    rows = [(i, " ".join(w)) for i, w in rows]
+    want = plain_similar(rows, 5, 0.8)
+    assert sum(i != r for i, r in want.items()) == 40
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_overlaps(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(simhash, "COLUMNS", 7)
+    rng = np.random.default_rng(2)
+    xs, ys = ([np.unique(rng.integers(0, 90, n).astype(np.uint64)) for n in sizes] for sizes in ((0, 5, 40, 80), (30, 0, 60)))
+    assert simhash.overlaps(xs, ys).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in ys] for x in xs]
+
+
 def test_allocation_covers_the_distance():
     """Thresholds sum to tau + 1 with one added to each: the generalised pigeonhole bound."""
     import numpy as np

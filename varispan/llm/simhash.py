@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..deploy import ship
 from .common import Scratch, arrow_map, connected_components, text_buffers
 
 BITS = 64
@@ -219,8 +220,10 @@ def op10_simhash(spark, sf_dir: str) -> DataFrame:
 #: Min-hash bands beside the fingerprint: pairs of similarity 0.8 share one of BANDS with a chance of 0.9999.
 BANDS, ROWS = 24, 5
 #: Up to so many texts of a band are compared each with each; in larger ones all are compared to the first and the last, then
-#: up to OUTSIDERS texts that this leaves outside the band's largest group are compared to all of the band.
-SMALL, OUTSIDERS = 8, 64
+#: all that this leaves outside the band's largest group to all of the band, in blocks of OUTSIDERS by MEMBERS texts.
+SMALL, OUTSIDERS, MEMBERS = 8, 128, 512
+#: Bytes of either side of a block, and columns of its table of shingles held at once.
+BLOCK_BYTES, COLUMNS = 4 << 20, 1 << 13
 #: Bytes of a batch of text pairs.
 PAIR_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -282,22 +285,88 @@ def hub_pairs(met: DataFrame) -> DataFrame:
     return hubs.unionByName(each)
 
 
-def open_bands(met: DataFrame, roots: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Of bands that still hold several groups: the pairs (a, b) of outsiders with all members of other groups, where there are up to
-    OUTSIDERS, and the (key, node) of bands with more. A member is so in OUTSIDERS pairs of a band at most."""
-    named = scratch.save(met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "named")
-    groups = named.groupBy("key", "root").agg(F.count("*").alias("n"))
-    bands = groups.groupBy("key").agg((F.sum("n") - F.max("n")).alias("outside"), F.max_by("root", F.struct("n", "root")).alias("main")).where("outside > 0")
-    bands = scratch.save(bands, "open")
-    some = bands.where(F.col("outside") <= OUTSIDERS)
-    member = scratch.save(named.join(some, "key").select("key", "node", "root", "main"), "members")
-    # a pair that shares several such bands is told in one of them; the lists have a node's own bands
-    keys = member.groupBy("node").agg(F.collect_set("key").alias("keys"))
-    out = member.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    mine = out.groupBy("a").agg(F.collect_set("key").alias("mine"))
-    once = F.array_min(F.array_intersect("mine", "keys")) == F.col("key")
-    pairs = member.select("key", "node", "root").join(keys, "node").join(out.join(mine, "a"), "key").where((F.col("root") != F.col("root_a")) & once).select("a", F.col("node").alias("b"))
-    return pairs, named.join(bands.where(F.col("outside") > OUTSIDERS), "key", "left_semi").select("key", "node")
+def open_bands(met: DataFrame, roots: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, node, root, main, outer, inner) of the bands that still hold several groups and were not compared each with each: a
+    member's group, the band's largest group, and the numbers of blocks for those outside it and for all."""
+    size = texts.select("node", F.octet_length("text").cast("long").alias("bytes"))
+    named = met.join(size, "node").join(roots, "node", "left").select("key", "node", "bytes", F.coalesce("root", "node").alias("root"))
+    named = scratch.save(named, "named")
+    groups = named.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    rank = F.struct("n", "root")
+    bands = groups.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("bytes").alias("bytes"), F.max_by("bytes", rank).alias("own"), F.max_by("root", rank).alias("main"))
+    bands = bands.where((F.col("n") > F.col("most")) & (F.col("n") > SMALL))
+    blocks = lambda n, most, size: F.greatest(F.ceil(n / F.lit(most)), F.ceil(size / F.lit(BLOCK_BYTES))).cast("int")
+    bands = bands.select("key", "main", blocks(F.col("n") - F.col("most"), OUTSIDERS, F.col("bytes") - F.col("own")).alias("outer"), blocks(F.col("n"), MEMBERS, F.col("bytes")).alias("inner"))
+    return scratch.save(named.join(bands, "key").select("key", "node", "root", "main", "outer", "inner"), "open")
+
+
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of ``xs`` with each of ``ys``, sets of hashes."""
+    sides = [(np.concatenate(s), np.repeat(np.arange(len(s)), [len(x) for x in s])) for s in (xs, ys)]
+    shared = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    total = np.zeros((len(xs), len(ys)))
+    if not len(shared):
+        return total
+    placed = []
+    for h, owner in sides:
+        at = np.searchsorted(shared, h)
+        good = shared[np.minimum(at, len(shared) - 1)] == h
+        order = np.argsort(at[good], kind="stable")
+        placed.append((at[good][order], owner[good][order]))
+    for c in range(0, len(shared), COLUMNS):
+        tables = []
+        for (at, owner), s in zip(placed, (xs, ys)):
+            i, j = np.searchsorted(at, (c, c + COLUMNS))
+            t = np.zeros((len(s), min(COLUMNS, len(shared) - c)), np.float32)
+            t[owner[i:j], at[i:j] - c] = 1
+            tables.append(t)
+        total += tables[0] @ tables[1].T
+    return total
+
+
+def block_links(member: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) of ``similarity`` or more between different groups of a band of ``open_bands``, one for two groups of a block. All outside a
+    band's largest group meet all of the band; only links leave a block, so no pair is ever a row."""
+
+    def run(key, left, right):
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        root_a, root_b = (t.column("root").to_numpy() for t in (left, right))
+        if not len(root_a) or not (root_a[:, None] != root_b[None, :]).any():
+            return none
+        sets: dict[int, np.ndarray] = {}
+        sides = []
+        for t in (left, right):
+            ids = t.column("node").to_numpy()
+            raw, off = text_buffers(t.column("text"))
+            for i, n in enumerate(ids.tolist()):
+                if n not in sets:
+                    sets[n] = np.unique(shingle_hashes(raw[off[i] : off[i + 1]].tobytes(), words))
+            sides.append((ids, [sets[n] for n in ids.tolist()]))
+        (a, xs), (b, ys) = sides
+        nx, ny = (np.array([len(x) for x in s])[:, None] for s in (xs, ys))
+        ny = ny.T
+        # sizes alone can rule a pair out
+        open_ = (root_a[:, None] != root_b[None, :]) & (np.minimum(nx, ny) >= similarity * np.maximum(nx, ny))
+        i, j = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+        if not len(i):
+            return none
+        both = overlaps([xs[k] for k in i], [ys[k] for k in j])
+        at = np.ix_(i, j)
+        p, q = np.nonzero(open_[at] & (both >= similarity * (nx[i] + ny[:, j] - both)))
+        p, q = i[p], j[q]
+        _, one = np.unique(np.stack([root_a[p], root_b[q]]), axis=1, return_index=True)
+        return pa.table({"a": a[p[one]], "b": b[q[one]]})
+
+    full = member.join(texts, "node")
+    deal = F.xxhash64("node")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = full.where("root <> main").withColumn("i", F.pmod(deal, "outer").cast("int")).withColumn("j", every("inner"))
+    right = full.withColumn("j", F.pmod(deal, "inner").cast("int")).withColumn("i", every("outer"))
+    keys = ["key", "i", "j"]
+    # named anew, as both sides stem from one table
+    left, right = (t.select(*(F.col(c).alias(c) for c in (*keys, "node", "root", "text"))).groupBy(*keys) for t in (left, right))
+    ship(member.sparkSession)
+    return left.cogroup(right).applyInArrow(run, "a long, b long")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -334,33 +403,17 @@ def _group(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, tau
     prints = scratch.save(_ordered(near_prints(nodes, tau, scratch)), "prints")
     ids = met.select("node").unionByName(prints.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     texts = scratch.save(rows.join(ids.join(place, "node"), ["_id", "_th"]).dropDuplicates(["node"]).select("node", "text"), "texts")
-    tested, edges = None, None
-
-    def settle(pairs: DataFrame) -> DataFrame:
-        nonlocal tested, edges
-        pairs = _ordered(pairs)
-        fresh = scratch.save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        # a row holds two whole texts, so batches are cut by bytes; a longer row stands alone
-        conf, before = scratch.spark.conf, scratch.spark.conf.get(_BATCH, None)
-        conf.set(_BATCH, str(PAIR_BYTES))
-        try:
-            good = scratch.save(similar_pairs(fresh, texts, words, similarity), "links")
-        finally:
-            conf.unset(_BATCH) if before is None else conf.set(_BATCH, before)
-        tested = fresh if tested is None else tested.unionByName(fresh)
-        edges = good if edges is None else edges.unionByName(good)
-        return scratch.save(connected_components(edges, scratch), "roots")
-
-    roots = settle(prints.unionByName(hub_pairs(met)))
-    pairs, mixed = open_bands(met, roots, scratch)
-    roots = settle(pairs)
-    mixed = scratch.save(mixed, "mixed")
-    if mixed.limit(1).count():
-        again = mixed.join(shared.withColumnRenamed("key", "other"), "node").where("key <> other")
-        parts = again.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node").distinct()
-        met = scratch.save(parts.join(parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"), "parts")
-        roots = settle(hub_pairs(met))
-        roots = settle(open_bands(met, roots, scratch)[0])
+    pairs = scratch.save(_ordered(prints.unionByName(hub_pairs(met))), "pairs")
+    # a row holds two whole texts, so batches are cut by bytes; a longer row stands alone
+    conf, before = scratch.spark.conf, scratch.spark.conf.get(_BATCH, None)
+    conf.set(_BATCH, str(PAIR_BYTES))
+    try:
+        edges = scratch.save(similar_pairs(pairs, texts, words, similarity), "links")
+    finally:
+        conf.unset(_BATCH) if before is None else conf.set(_BATCH, before)
+    roots = scratch.save(connected_components(edges, scratch), "roots")
+    more = scratch.save(block_links(open_bands(met, roots, texts, scratch), texts, words, similarity), "links")
+    roots = scratch.save(connected_components(edges.unionByName(more), scratch), "roots")
     scratch.drop(texts)
     return roots
 
@@ -371,9 +424,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     Documents link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more. Candidates
     are fingerprints within ``tau`` bits and, as a pair at 0.8 is some ten bits apart, texts that share a
     min-hash band; every candidate is settled on the whole texts, so nothing links that is less alike. Texts without words are alike.
-    Bands of any size are worked through: all of a band meet two of it, and those that this leaves outside its largest group meet all;
-    where these are many, the band is split by a second band that its texts share. Only links in such a part with many outsiders
-    again can be missed. Copies count once, so a large group of them costs one comparison. Null ids and repeated rows are as in ``near_duplicates``.
+    Bands of any size are worked through: all of a band meet two of it, and those that this leaves outside its largest group meet all
+    of it, however many they are. So every pair that shares a band is compared or in one group already. Copies count once, so a large group of them costs one comparison. Null ids and repeated rows are as in ``near_duplicates``.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     by_doc = scratch.save(sketches(docs, words), "sketches")
