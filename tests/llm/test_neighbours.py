@@ -60,6 +60,21 @@ def test_copies_do_not_swell_the_index(spark):
     assert [i for i, _ in got[0]] == list(range(1, 21)) and [i for i, _ in got[480]] == list(range(20))
 
 
+def test_repeated_rows_take_no_places(spark):
+    """Ids stored many times, with one vector or with several, hide no other id."""
+    rng = np.random.default_rng(9)
+    rows = [(3, [1.0, 2.0])] * 21 + [(i, [1.0, 2.0]) for i in range(20, 60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(r.vec_id for r in neighbours.distinct_candidates(neighbours.usable(df), 20).collect()) == [3, *range(20, 40)]
+    got = found(neighbours.search(df))
+    assert [i for i, _ in got[20]] == [3, *range(21, 40)]
+    ids = np.array([7] * 25 + list(range(100, 140)))
+    score = np.concatenate([5 + rng.random(25), rng.random(40)])[None, :]
+    q, c = neighbours.best(np.array([20]), ids, score, 20)
+    want = sorted(range(25, 65), key=lambda j: -score[0, j])[:19]
+    assert c.tolist() == [int(score[0, :25].argmax()), *want]
+
+
 @pytest.mark.parametrize("rows", [[], [(20, [1.0, 0.0])], [(20, [0.0, 0.0]), (21, None)]])
 def test_too_few(spark, rows):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

@@ -90,22 +90,30 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def distinct_candidates(v: DataFrame, k: int) -> DataFrame:
-    """Of rows with equal vectors the k + 1 smallest ids: a query needs no others, as ties go to smaller ids and only its own id is barred. Each task cuts its rows so before the shuffle."""
+    """Of rows with equal vectors the k + 1 smallest distinct ids, each once: a query needs no others, as ties go to smaller ids and only its own id is barred. Each task drops repeats before the shuffle."""
     same = Window.partitionBy("embedding").orderBy("vec_id")
-    return v.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).drop("r")
+    return v.dropDuplicates(["vec_id", "embedding"]).withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).drop("r")
 
 
 def best(ids_q, ids_c, score, k):
-    """Top k per query of a score block, ties to smaller ids, the query's own id barred: (query row, candidate row)."""
+    """Top k distinct ids per query of a score block, each with its best row, ties to smaller ids, the query's own id barred: (query row, candidate row)."""
     score = np.where(ids_c[None, :] == ids_q[:, None], -np.inf, score)
-    m = min(k, score.shape[1])
-    if score.shape[1] > 4 * k:
+    # a row meets at most ``most`` rows of each id, so the k first ids lie within the k * most first rows
+    most = int(np.unique(ids_c, return_counts=True)[1].max()) if len(ids_c) else 1
+    m = min(k * most, score.shape[1])
+    if score.shape[1] > 4 * m:
         edge = -np.partition(-score, m - 1, axis=1)[:, m - 1 : m]
         q, c = np.nonzero(score >= edge)
     else:
         q, c = np.nonzero(score > -np.inf)
     keep = score[q, c] > -np.inf
     q, c = q[keep], c[keep]
+    if most > 1:  # the best row of each id
+        order = np.lexsort((-score[q, c], ids_c[c], q))
+        q, c = q[order], c[order]
+        new = np.ones(len(q), bool)
+        new[1:] = (q[1:] != q[:-1]) | (ids_c[c[1:]] != ids_c[c[:-1]])
+        q, c = q[new], c[new]
     order = np.lexsort((ids_c[c], -score[q, c], q))
     q, c = q[order], c[order]
     first = np.searchsorted(q, q)
@@ -146,6 +154,7 @@ def calibrate(cands: DataFrame, queries: DataFrame, h: Hash, k: int, recall: flo
             yield pa.RecordBatch.from_pydict({"q": q.astype(np.int32), "vec_id": own[c], "score": score[q, c], "need": need.astype(np.int32)})
 
     near = arrow_map(cands, run, "q int, vec_id long, score double, need int")
+    near = near.groupBy("q", "vec_id").agg(F.max("score").alias("score"), F.min_by("need", F.struct(-F.col("score"), "need")).alias("need"))
     top = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     need = sorted(r.need for r in near.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).select("need").collect())
     return need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)] + 1 if need else 1
