@@ -73,6 +73,27 @@ def test_blocks_follow_aliases_and_allows_win(spark):
     assert {r.page_id: r.verdict for r in urlfilter.judge(df, redirects=redirects).collect()}[8] == "block"
 
 
+def test_relative_links_and_quoted_refresh(spark):
+    from urllib.parse import urljoin
+
+    from pyspark.sql import functions as F
+
+    bases = ["http://a.info/b/c/d?q", "http://a.info", "http://a.info/", "http://a.info/x?y=/z/#f/g", "http://a.info/b/"]
+    refs = ["page.html", "../x", "../../../x", "./", ".", "..", "../", "g/./h", "g/../h?y=../z#s/../t", "?id=1", "/p/../q", "/p/.", "//n.net/p", "https://m.net/w", "g?y#s", ".g", "g..", "#s"]
+    df = spark.createDataFrame([(b, r) for b in bases for r in refs], "b string, r string")
+    for x in df.select("b", "r", urlfilter.absolute(F.col("r"), F.col("b")).alias("got")).collect():
+        assert x.got == urljoin(x.b, x.r).replace("http://a.info../", "http://a.info/"), (x.b, x.r)
+    assert spark.range(1).select(urlfilter.absolute(F.lit("mailto:a@b.net"), F.lit("http://a.info/"))).first()[0] is None
+    refresh = '<meta http-equiv="refresh" content="0;url=\'http://bad.net/\'">'
+    rows = [
+        (1, "http://a.info/d/one", refresh), (2, "http://a.info/d/two", canonical("one")), (3, "http://a.info/d/e/three", canonical("../two")), (4, "http://a.info/d/one?id=1", canonical("?id=2")),
+        (5, "http://a.info/d/one?id=2", canonical("./one")), (6, "http://a.info/f/one", canonical("other")), (7, "http://a.info/g", "<meta http-equiv='refresh' content='0; URL=\"d/one\"'>"),
+        (8, "http://u.info/a/x", canonical("y")), (9, "http://u.info/a/y", canonical("http://q.example.net/en/z")), (10, "http://u.info/a/w", canonical("../a/x")), (11, "http://u.info/v", canonical("http://bad.net/v")), (12, "http://u.info/a/x", canonical("../v")),
+    ]
+    out = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.verdict for r in out.collect()} == {i: "block" if i < 8 and i != 6 else "allow" for i in range(1, 13)}
+
+
 def test_rule_table_equals_expression(spark):
     rules = spark.createDataFrame(urlfilter.RULES, "rule string, verdict string")
     df = spark.createDataFrame([(i, *plain_rule(u)[:2]) for i, u in enumerate(URLS)], "i long, host string, path string")

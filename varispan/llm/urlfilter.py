@@ -54,18 +54,36 @@ def node(url: Column) -> Column:
     return F.concat(host(url), path(url), F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1), F.lit("")))
 
 
+def no_dots(p: Column) -> Column:
+    """A path from the root without its . and .. segments (RFC 3986, 5.2.4)."""
+    parts = F.split(p, "/")
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+    step = lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), step)
+    # a last . or .. names a folder
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
 def absolute(link: Column, base: Column) -> Column:
-    """A link resolved against its page: whole urls, //host and /path forms; others give null."""
+    """A link resolved against its page (RFC 3986, 5.2); links of a scheme without ``://``, such as mailto:, give null."""
     link = F.replace(F.trim(link), F.lit("&amp;"), F.lit("&"))
+    origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    own, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path(base), r"(?s)^/(.*/)", 1))
     return (
         F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
         .when(link.startswith("//"), F.concat(F.lit("http:"), link))
-        .when(link.startswith("/"), F.concat(F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1), link))
+        .when(link.startswith("/"), F.concat(origin, no_dots(own), rest))
+        .when(link.startswith("?"), F.concat(origin, path(base), link))
+        .when(link.startswith("#"), F.concat(F.regexp_extract(base, r"(?s)^([^#]*)", 1), link))
+        .when(link != "", F.concat(origin, no_dots(F.concat(folder, own)), rest))
     )
 
 
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'\s>]+)"""
+_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
 def html_links(pages: DataFrame) -> DataFrame:
