@@ -74,6 +74,26 @@ def test_paraphrases_are_found_and_clean_texts_are_not(planted):
     assert got == want
 
 
+def test_short_items_of_common_words_are_found(spark):
+    """Whole copies of items of 5 to 7 words that most documents hold, in long documents of rare words, at any place."""
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(40)]
+    items = {n: rng.sample(common, n) for n in (5, 6, 7)} | {n: rng.sample(common, 8) + passage(rng, n - 8) for n in (12, 29)}
+    docs, want = {}, set()
+    for k, w in items.items():
+        for place in range(10):
+            text = passage(rng, 60)
+            docs[100 * k + place] = " ".join(text[:place] + w + text[place:])
+            want.add((100 * k + place, k))
+        docs[100 * k + 10], docs[100 * k + 11] = " ".join(w), " ".join(passage(rng, 50) + w)
+        want |= {(100 * k + 10, k), (100 * k + 11, k)}
+    for i in range(200):
+        docs[10_000 + i] = " ".join(x for c in rng.sample(common, 40) for x in (c, *passage(rng, 5)))
+    docs = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.find(docs, bench).collect()} == want
+
+
 def test_stage(spark, planted, monkeypatch, tmp_path):
     docs, bench, want = planted
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))

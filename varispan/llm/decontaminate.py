@@ -23,6 +23,9 @@ WINDOWS = (2, 4, 6)
 PART = BLOCK * max(WINDOWS)
 MIN_WORDS = 5
 RANK = 256
+#: Passages of fewer words are also sought by runs of MIN_WORDS of their words: common words weigh too little for the cosine of a window.
+SHORT = 30
+_STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _CHUNK = 1 << 19
 #: Everything that is not an ASCII letter or digit, or a byte of a longer UTF-8 character, parts words here.
 _KEEP = np.zeros(256, bool)
@@ -171,6 +174,48 @@ def holds_run(run: list, other: list) -> bool:
     return any(other[i : i + n] == run for i in range(len(other) - n + 1) if other[i] == run[0])
 
 
+def run_hashes(h: np.ndarray) -> np.ndarray:
+    """A hash of each MIN_WORDS words in a row."""
+    n = max(0, len(h) - MIN_WORDS + 1)
+    out = np.zeros(n, np.uint64)
+    for i, c in enumerate(_STEP[:MIN_WORDS]):
+        out += h[i : i + n] * c
+    return out ^ out >> np.uint64(31)
+
+
+class Runs:
+    """The runs of MIN_WORDS words of the passages under SHORT words."""
+
+    def __init__(self, index: Index):
+        at = [(p, run_hashes(index.words[p])) for p in np.flatnonzero(index.size < SHORT)]
+        key = np.concatenate([g for _, g in at]) if at else np.zeros(0, np.uint64)
+        passage = np.repeat([p for p, _ in at], [len(g) for _, g in at]).astype(np.int64)
+        place = np.concatenate([np.arange(len(g)) for _, g in at]) if at else passage
+        order = np.argsort(key, kind="stable")
+        self.key, self.passage, self.place = key[order], passage[order], place[order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(key >> np.uint64(44)).astype(np.int64)] = True
+        self.size = index.size
+
+    def places(self, row: np.ndarray, h: np.ndarray):
+        """(document, from word, to word, passage) of the spans that share a run with a passage, widened by a fifth of it on both sides."""
+        if not len(self.key) or len(h) < MIN_WORDS:
+            return
+        g = run_hashes(h)
+        x = np.flatnonzero(self.seen[(g >> np.uint64(44)).astype(np.int64)] & (row[: len(g)] == row[MIN_WORDS - 1 :]))
+        lo, hi = (np.searchsorted(self.key, g[x], side=s) for s in ("left", "right"))
+        x, lo, n = x[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        if not len(x):
+            return
+        k = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        x = np.repeat(x, n)
+        p, wide = self.passage[k], self.size[self.passage[k]] // 5
+        begin = x - self.place[k]
+        first, last = np.searchsorted(row, row[x]), np.searchsorted(row, row[x], side="right")
+        spans = np.stack([row[x], np.maximum(first, begin - wide), np.minimum(last, begin + self.size[p] + wide), p])
+        yield from np.unique(spans, axis=1).T.tolist()
+
+
 def search(docs: DataFrame, index: Index, least_cosine: float = 0.5, most_alike: float = 0.8, alike: float = 0.6) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answered) of every document and item found together."""
     kind = np.where(index.size < 30, 0, np.where(index.size < 50, 1, 2))
@@ -185,6 +230,7 @@ def search(docs: DataFrame, index: Index, least_cosine: float = 0.5, most_alike:
                 m[w] = m.get(w, 0) | 1 << i
             masks.append(m)
         answers = [a.tolist() for a in index.answer]
+        runs = Runs(index)
         for b in batches:
             raw, off = text_buffers(b.column(1))
             best: dict[tuple[int, int], tuple[float, float, bool]] = {}
@@ -193,10 +239,19 @@ def search(docs: DataFrame, index: Index, least_cosine: float = 0.5, most_alike:
                 if len(h):
                     for d, p, cos in _candidates(row, h, j - i, index, weight, by_kind, least_cosine):
                         settle(best, i + d[0], p, cos, h[d[1] : d[2]].tolist(), masks, answers)
+                    near = set(best)
+                    for d, lo, hi, p in runs.places(row, h):
+                        if (i + d, int(index.item[p])) not in near:
+                            settle(best, i + d, p, cosine(h[lo:hi], index.words[p]), h[lo:hi].tolist(), masks, answers)
             keys = list(best)
             ids = b.column(0).take(pa.array([k[0] for k in keys], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([k[1] for k in keys], pa.int64()), pa.array([best[k][0] for k in keys], pa.float64()), pa.array([best[k][1] for k in keys], pa.float64()), pa.array([best[k][2] for k in keys], pa.bool_())], names=["doc_id", "item_id", "cosine", "lcs", "answered"])
 
+    def cosine(x, y):
+        (f, v), (g, w) = _rows([x, y], index.idf.astype(np.float64))
+        _, i, j = np.intersect1d(f, g, assume_unique=True, return_indices=True)
+        return float(v[i] @ w[j] / np.sqrt((v @ v) * (w @ w)))
+
     def settle(best, d, p, cos, around, masks, answers):
         n = int(index.size[p])
         lcs = common_subsequence(masks[p], n, around) / n
@@ -269,8 +324,9 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, cosine, lcs, answered.
 
     lcs is the longest common subsequence over the item's (passage's) words; found means 0.8 or more, or 0.6 or
-    more with the item's last words in one run. Items of under five words can't be told from chance and are
-    not searched; null items and ids neither. Null and empty texts hold nothing. Repeated rows are each reported;
+    more with the item's last words in one run. Candidates are windows by cosine and, for items of under SHORT words, spans
+    with a run of five of the item's words, so no whole copy of such an item is missed; an altered copy that keeps no
+    such run still goes by the cosine alone. Items of under five words can't be told from chance and are not searched; null items and ids neither. Null and empty texts hold nothing. Repeated rows are each reported;
     other columns are ignored; an empty table on either side gives an empty result.
     """
     df, n = document_frequencies(docs)
