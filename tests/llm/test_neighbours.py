@@ -75,6 +75,17 @@ def test_repeated_rows_take_no_places(spark):
     assert c.tolist() == [int(score[0, :25].argmax()), *want]
 
 
+def test_few_candidates_are_all_returned(spark, monkeypatch):
+    """Also where the probes alone would find some of them only."""
+    monkeypatch.setattr(neighbours, "calibrate", lambda *a: 1)
+    monkeypatch.setattr(neighbours, "CANDIDATES", 7)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=32).tolist()) for i in range(20, 41)]
+    got = found(neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=30))
+    want = plain(rows, 30)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
 @pytest.mark.parametrize("rows", [[], [(20, [1.0, 0.0])], [(20, [0.0, 0.0]), (21, None)]])
 def test_too_few(spark, rows):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

@@ -168,8 +168,8 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, re
     products in double precision of the original vectors, ties go to the smaller id, and a query never finds its own id.
     Null, empty, zero and non-finite vectors and null ids take no part. Vectors of different lengths count
     as if filled up with zeros. Repeated ids with different vectors are rows of their own; a candidate id is
-    reported once, with its best score. Other columns are ignored; with fewer than k candidates all are
-    returned that were found, and an empty table gives an empty result.
+    reported once, with its best score. Other columns are ignored; a query with fewer than k found meets all
+    candidates, so with fewer than k all are returned, and an empty table gives an empty result.
     """
     scratch = Scratch(vectors.sparkSession, "neighbours")
     v = scratch.save(usable(vectors), "vectors")
@@ -216,7 +216,18 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, re
     right = prb.join(parts, "key").withColumn("qb", F.pmod(deal, "nq").cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("nc") - 1)))
     keys = ["key", "cb", "qb"]
     found = left.select(*keys, "id", "vec").groupBy(*keys).cogroup(right.select(*keys, "id", "vec").groupBy(*keys)).applyInArrow(rerank, out)
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = scratch.save(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = scratch.save(q.join(full, F.col("vec_id") == F.col("query_id"), "left_anti").select(F.lit(0).alias("key"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), "short")
+    wanting = short.count()
+    if wanting:  # all candidates, in blocks
+        nc, nq = -(-cands.count() // CANDIDATES), -(-wanting // QUERIES)
+        block = lambda n: F.pmod(deal, F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = cands.select(F.lit(0).alias("key"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec")).withColumn("cb", block(nc)).withColumn("qb", every(nq))
+        right = short.withColumn("qb", block(nq)).withColumn("cb", every(nc))
+        more = left.select(*keys, "id", "vec").groupBy(*keys).cogroup(right.select(*keys, "id", "vec").groupBy(*keys)).applyInArrow(rerank, out)
+        found = found.unionByName(more).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
