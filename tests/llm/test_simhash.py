@@ -3,8 +3,8 @@ import random
 import pytest
 import xxhash
 
-from varispan.llm import simhash
-from varispan.llm.common import Scratch, connected_components
+from varispan.llm import common, simhash
+from varispan.llm.common import Scratch, connected_components, forest_components
 
 
 def plain_fingerprint(text, words):
@@ -90,10 +90,9 @@ def test_similar_documents_equal_brute_force(spark, sf, texts):
     assert got == want and len(set(want.values())) < len(want)
 
 
-@pytest.mark.parametrize("small, outsiders", [(0, 64), (8, 64), (0, 2)])
-def test_similarity_is_settled_on_whole_texts(spark, monkeypatch, small, outsiders):
+@pytest.mark.parametrize("outsiders", [64, 2])
+def test_similarity_is_settled_on_whole_texts(spark, monkeypatch, outsiders):
     """Near copies of a long and a short text at growing distance; large bands go by their hubs, mixed ones are split."""
-    monkeypatch.setattr(simhash, "SMALL", small)
     monkeypatch.setattr(simhash, "OUTSIDERS", outsiders)
     rng = random.Random(6)
     rows = []
@@ -150,14 +149,38 @@ def test_allocation_covers_the_distance():
         assert sum(t + 1 for t in ts) == 3
 
 
-def test_components_of_chains_and_hubs(spark):
+@pytest.mark.parametrize("components", [connected_components, forest_components])
+def test_components_of_chains_and_hubs(spark, components):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 200)] + [(500, 500), (None, 7), (300, 301), (301, 300)]
     rng.shuffle(edges)
-    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 200)}, 300: 300, 301: 300}
 
 
+@pytest.mark.parametrize("most", [1, 3, 1 << 19])
+def test_forest_components_of_random_graphs(spark, monkeypatch, most):
+    """However few edges a task joins at once, and with a long chain of shuffled names dealt over many tasks."""
+    monkeypatch.setattr(common, "FOREST_EDGES", most)
+    rng = random.Random(most)
+    names = rng.sample(range(10_000), 400)
+    edges = list(zip(names[:150], names[1:151])) + [(rng.choice(names[150:]), rng.choice(names[150:])) for _ in range(160)]
+    parent = {n: n for e in edges for n in e}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        p, q = sorted((top(a), top(b)))
+        parent[q] = p
+    want = {n: top(n) for e in edges if e[0] != e[1] for n in e}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(8)
+    rows = forest_components(df, Scratch(spark, "t")).collect()
+    assert len(rows) == len(want) and {r.node: r.root for r in rows} == want
+
+
 def test_odd_rows(odd, nothing):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()

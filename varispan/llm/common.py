@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -21,11 +22,13 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one of our own only where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; a local one of our own only where it is unset on a local master (tests)."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="varispan-")
     return _own_dir
@@ -159,6 +162,78 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     return roots.union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+#: Edges that a task joins at once before it lets them go.
+FOREST_EDGES = 1 << 19
+
+
+def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of every node of the edges that is not the smallest of its component among them."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        p, q = root[x], root[y]
+        apart = p != q
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    child = root != np.arange(len(nodes))
+    return nodes[child], nodes[root[child]]
+
+
+def forest_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+    """The same as ``connected_components`` with Python workers, in fewer and cheaper rounds.
+
+    In each round edges meet at their larger end, where a task joins all it holds, and each node then takes over its
+    root's root. After a task has joined its edges a node has one row from it, so a hub brings no more rows to
+    its own task than there are tasks; the join on roots is one that the skew-join rule can split.
+    """
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+            size += len(batch)
+            if size >= FOREST_EDGES:
+                # rows of one node stay together: what may go on in the next batch is kept back
+                rows = np.concatenate(held, axis=1)
+                cut = int(np.searchsorted(rows[0], rows[0, -1])) if (np.diff(rows[0]) >= 0).all() else size
+                held, size = [rows[:, cut:]], size - cut
+                if cut:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in local_roots(*rows[:, :cut])], names=["a", "b"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in local_roots(*np.concatenate(held, axis=1))], names=["a", "b"])
+
+    def joined(e: DataFrame) -> DataFrame:
+        return arrow_map(e.select("a", "b"), run, "a long, b long")
+
+    def home(e: DataFrame) -> DataFrame:
+        return e.repartition("a").sortWithinPartitions("a")
+
+    def done(e: DataFrame) -> bool:
+        ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("x")).select("x.*")
+        odd = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))
+        return odd.agg(F.count("*").alias("n")).first().n == 0
+
+    e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
+    e = scratch.save(joined(home(joined(e))), "edges")
+    for _ in range(max_rounds):
+        if done(e):
+            break
+        up = e.groupBy(F.col("a").alias("r")).agg(F.min("b").alias("top"))
+        jumped = e.join(up, F.col("b") == F.col("r"), "left").select("a", F.coalesce("top", "b").alias("b"))
+        new = scratch.save(joined(home(joined(jumped))), "edges")
+        scratch.drop(e)
+        e = new
+    else:
+        raise RuntimeError("components have not converged")
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}

@@ -7,6 +7,7 @@ from a dynamic programme over estimated candidate counts, and every candidate is
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from itertools import combinations
 from math import comb
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..deploy import ship
-from .common import Scratch, arrow_map, connected_components, text_buffers
+from .common import Scratch, arrow_map, forest_components, text_buffers
 
 BITS = 64
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -205,7 +206,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, tau: int = 2, bucket: int =
     scratch = Scratch(docs.sparkSession, "simhash")
     by_doc = scratch.save(fingerprints(docs, words), "fp")
     fps = scratch.save(by_doc.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "reps")
-    roots = connected_components(links(fps, tau, scratch, bucket), scratch)
+    roots = forest_components(links(fps, tau, scratch, bucket), scratch)
     named = fps.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return by_doc.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
@@ -219,9 +220,9 @@ def op10_simhash(spark, sf_dir: str) -> DataFrame:
 
 #: Min-hash bands beside the fingerprint: pairs of similarity 0.8 share one of BANDS with a chance of 0.9999.
 BANDS, ROWS = 24, 5
-#: Up to so many texts of a band are compared each with each; in larger ones all are compared to the first and the last, then
-#: all that this leaves outside the band's largest group to all of the band, in blocks of OUTSIDERS by MEMBERS texts.
-SMALL, OUTSIDERS, MEMBERS = 8, 128, 512
+#: Each text is compared to the first of its largest band; then all that this leaves outside a band's largest group to all of
+#: the band, in blocks of OUTSIDERS by MEMBERS texts.
+OUTSIDERS, MEMBERS = 128, 512
 #: Bytes of either side of a block, and columns of its table of shingles held at once.
 BLOCK_BYTES, COLUMNS = 4 << 20, 1 << 13
 #: Bytes of a batch of text pairs.
@@ -276,25 +277,21 @@ def near_prints(nodes: DataFrame, tau: int, scratch: Scratch) -> DataFrame:
 
 
 def hub_pairs(met: DataFrame) -> DataFrame:
-    """(a, b) to compare first in the bands of ``met`` (key, node)."""
-    sizes = met.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).where("n > 1")
-    known = met.join(sizes, "key")
-    hubs = known.select(F.col("node").alias("a"), F.explode(F.array("first", "last")).alias("b"))
-    few = known.where(F.col("n") <= SMALL).select("key", "node")
-    each = few.alias("x").join(few.alias("y"), "key").where("x.node > y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return hubs.unionByName(each)
+    """(a, b): each node of the bands ``met`` (key, node) and the first of the largest band it is in. One row a node, however many bands are shared."""
+    sizes = met.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    return met.join(sizes, "key").groupBy(F.col("node").alias("a")).agg(F.max(F.struct("n", "key", "first")).alias("best")).select("a", F.col("best.first").alias("b"))
 
 
 def open_bands(met: DataFrame, roots: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, node, root, main, outer, inner) of the bands that still hold several groups and were not compared each with each: a
-    member's group, the band's largest group, and the numbers of blocks for those outside it and for all."""
+    """(key, node, root, main, outer, inner) of the bands that still hold several groups: a member's group, the band's largest
+    group, and the numbers of blocks for those outside it and for all."""
     size = texts.select("node", F.octet_length("text").cast("long").alias("bytes"))
     named = met.join(size, "node").join(roots, "node", "left").select("key", "node", "bytes", F.coalesce("root", "node").alias("root"))
     named = scratch.save(named, "named")
     groups = named.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     rank = F.struct("n", "root")
     bands = groups.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("bytes").alias("bytes"), F.max_by("bytes", rank).alias("own"), F.max_by("root", rank).alias("main"))
-    bands = bands.where((F.col("n") > F.col("most")) & (F.col("n") > SMALL))
+    bands = bands.where(F.col("n") > F.col("most"))
     blocks = lambda n, most, size: F.greatest(F.ceil(n / F.lit(most)), F.ceil(size / F.lit(BLOCK_BYTES))).cast("int")
     bands = bands.select("key", "main", blocks(F.col("n") - F.col("most"), OUTSIDERS, F.col("bytes") - F.col("own")).alias("outer"), blocks(F.col("n"), MEMBERS, F.col("bytes")).alias("inner"))
     return scratch.save(named.join(bands, "key").select("key", "node", "root", "main", "outer", "inner"), "open")
@@ -392,6 +389,17 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: fl
     return arrow_map(two.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
+@contextmanager
+def _small_batches(spark):
+    """Arrow batches cut by bytes in the plans run within, as a row holds two whole texts; a longer row stands alone."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(PAIR_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+
+
 def _group(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, tau: int, scratch: Scratch) -> DataFrame:
     """(node, root) of the nodes with a link."""
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), _text_key().alias("_th"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -403,17 +411,19 @@ def _group(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, tau
     prints = scratch.save(_ordered(near_prints(nodes, tau, scratch)), "prints")
     ids = met.select("node").unionByName(prints.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     texts = scratch.save(rows.join(ids.join(place, "node"), ["_id", "_th"]).dropDuplicates(["node"]).select("node", "text"), "texts")
-    pairs = scratch.save(_ordered(prints.unionByName(hub_pairs(met))), "pairs")
-    # a row holds two whole texts, so batches are cut by bytes; a longer row stands alone
-    conf, before = scratch.spark.conf, scratch.spark.conf.get(_BATCH, None)
-    conf.set(_BATCH, str(PAIR_BYTES))
-    try:
-        edges = scratch.save(similar_pairs(pairs, texts, words, similarity), "links")
-    finally:
-        conf.unset(_BATCH) if before is None else conf.set(_BATCH, before)
-    roots = scratch.save(connected_components(edges, scratch), "roots")
-    more = scratch.save(block_links(open_bands(met, roots, texts, scratch), texts, words, similarity), "links")
-    roots = scratch.save(connected_components(edges.unionByName(more), scratch), "roots")
+    # at most two pairs a text: by its fingerprint and by its largest band
+    first = prints.groupBy("a").agg(F.min("b").alias("b")).unionByName(hub_pairs(met))
+    with _small_batches(scratch.spark):
+        edges = scratch.save(similar_pairs(_ordered(first), texts, words, similarity), "links")
+    roots = scratch.save(forest_components(edges, scratch), "roots")
+    # what is near by fingerprint and not in one group yet; most of it is
+    named = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    apart = prints.join(named("a"), "a", "left").join(named("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    blocks = block_links(open_bands(met, roots, texts, scratch), texts, words, similarity)
+    with _small_batches(scratch.spark):
+        more = scratch.save(similar_pairs(apart, texts, words, similarity).unionByName(blocks), "links")
+    if not more.isEmpty():
+        roots = scratch.save(forest_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch), "roots")
     scratch.drop(texts)
     return roots
 
@@ -424,8 +434,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     Documents link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more. Candidates
     are fingerprints within ``tau`` bits and, as a pair at 0.8 is some ten bits apart, texts that share a
     min-hash band; every candidate is settled on the whole texts, so nothing links that is less alike. Texts without words are alike.
-    Bands of any size are worked through: all of a band meet two of it, and those that this leaves outside its largest group meet all
-    of it, however many they are. So every pair that shares a band is compared or in one group already. Copies count once, so a large group of them costs one comparison. Null ids and repeated rows are as in ``near_duplicates``.
+    Bands of any size are worked through: each text meets the first of its largest band, and what this leaves outside a band's
+    largest group meets all of the band, however much it is. So every pair that shares a band is compared or in one group already. Copies count once, so a large group of them costs one comparison. Null ids and repeated rows are as in ``near_duplicates``.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     by_doc = scratch.save(sketches(docs, words), "sketches")
