@@ -57,13 +57,13 @@ def test_primers_and_text(spark, genomes):
 def test_intersection_is_by_file_not_label(spark):
     data = [("f1", "a", "AC"), ("f2", "a", "AC"), ("f1", "a", "GG")]
     df = spark.createDataFrame(data, "file string, label string, k string").selectExpr("file", "label", "substring(k, 1, 1) l", "'' d", "substring(k, 2, 1) r")
-    got = C.conserved(C.count_amplicons(df), 2).collect()
+    got = C.conserved(C.count_amplicons(df), ["f1", "f2"]).collect()
     assert [(r.l, r.r, r.amplicons[0].labels[0].n) for r in got] == [("A", "C", 2)]
 
 
 def test_unique_columns_need_no_conserved_ingroup(spark):
     df = spark.createDataFrame([("A", "x", "GA"), ("A", "y", "TA"), ("A", "z", "CA")], "l string, label string, d string").selectExpr("label file", "label", "l", "d", "'T' r")
-    got = C.conserved(C.count_amplicons(df), 3)
+    got = C.conserved(C.count_amplicons(df), ["x", "y", "z"])
     r = got.select(C.unique_columns(got.amplicons, ["x", "y"]).alias("u"), C.variable_columns(got.amplicons).alias("v"), C.unique_columns(got.amplicons, ["x", "y", "z"]).alias("all")).first()
     assert (r.u, r.v, r["all"]) == ([0], [0], [0, 1])
 
@@ -128,3 +128,49 @@ def test_designer_meets_its_limits():
 
 def test_settings_text():
     assert P.parse_settings("A=5\nB=1.5\nC=1-2 3-4\nD=x\n=\n") == {"A": 5, "B": 1.5, "C": [[1, 2], [3, 4]], "D": "x"}
+
+
+@pytest.mark.parametrize("n", [1, 62, 63, 64, 130])
+def test_keys_of_many_files(spark, n):
+    files = [f"f{i}" for i in range(n)]
+    data = [(f, "x", "A", "", "C") for f in files] + [(f, "x", "A", "", "G") for f in files[:-1]] + [("other", "x", "A", "", "T")]
+    df = spark.createDataFrame(data, "file string, label string, l string, d string, r string")
+    assert [r.r for r in C.in_all_files(C.count_amplicons(df), files).collect()] == ["C"]
+
+
+def test_find_on_both_strands(spark):
+    from varispan.operators import search as S
+
+    seqs = spark.createDataFrame([("f.fa", "f", "c1", "TTACGGTTTTCCGTAAAAC"), ("g.fa", "g", "c2", "ACGGACGG")], "file string, label string, seq_id string, seq string")
+    got = sorted((r.seq_id, r.strand, r.start, r.end, r.sequence) for r in S.find(seqs, spark.createDataFrame([("ACGG",)], "query string"), 3).collect())
+    assert got == [("c1", "forward", 1, 10, "TTACGGTTT"), ("c1", "reverse", 8, 18, "tttacggaaa"), ("c2", "forward", 1, 8, "ACGGACG"), ("c2", "forward", 2, 12, "CGGACGG")]
+    own = S.find(seqs, spark.createDataFrame([("ACGG", "g"), ("ACGG", "h")], "query string, label string"))
+    assert sorted((r.label, r.start) for r in own.collect()) == [("g", 1), ("g", 5)]
+
+
+def test_annotated_alignments(spark, tmp_path):
+    from varispan.operators import search as S
+    from varispan.sources.fasta import read_sequences
+
+    (tmp_path / "f.fa").write_text(">c1\nTTACGGTTTT\n")
+    (tmp_path / "g.fa").write_text(">c2\nAACCAT\n")
+    (tmp_path / "a.txt").write_text(">1\nACGG : f\n{--}\n.T.. : g(2)\n>2\nTTTT : f\n")
+    lines = S.read_alignments(spark, str(tmp_path / "a.txt"))
+    assert sorted((r.alignment, r.line, r.query, r.label) for r in lines.collect()) == [(1, 0, "ACGG", "f"), (1, 1, "ATGG", "g"), (2, 0, "TTTT", "f")]
+    out = S.annotate(lines, read_sequences(spark, [str(tmp_path / "f.fa"), str(tmp_path / "g.fa")]), 1)
+    assert [r.line for r in out.orderBy("alignment", "n").collect()] == [
+        "# Alignment 1", "TACGGT | f.fa | chrom=c1 | start=2 | end=8 | strand=forward", "ATG.T | g.fa | chrom=c2 | start=2 | end=8 | strand=reverse",
+        "# Alignment 2", "GTTTT | f.fa | chrom=c1 | start=6 | end=12 | strand=forward",
+    ]
+
+
+def test_standard_input(spark, tmp_path):
+    import gzip
+    import io
+
+    from varispan.sources.fasta import read_sequences
+    from varispan.sources.stdin import path_of
+
+    for data in (b">a\nACGT\nAC\n", gzip.compress(b">a\nACGT\nAC\n")):
+        assert [r.seq for r in read_sequences(spark, path_of(spark, "-", io.BytesIO(data))).collect()] == ["ACGTAC"]
+    assert path_of(spark, "x.fa") == "x.fa"

@@ -175,3 +175,28 @@ def test_stream_restarts_where_it_stopped(spark, tmp_path):
     (tmp_path / "in/2.txt").write_text("TTTT\n")
     run()
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted(min(m, rc(m)) for m in plain(["ACGTA", "TTTT"], 3))
+
+
+def test_time_does_not_grow_with_the_length_of_a_row(spark, tmp_path):
+    """The same bases in rows a hundred times as long take no more than a few times as long (the square would be a hundred)."""
+    import random
+    import time
+
+    from varispan.operators.kmers import KmerSpec, kmers
+
+    base = "".join(random.Random(1).choice("ACGT") for _ in range(400_000))
+    took = []
+    for i, n in enumerate((1_000, 1_000, 100_000)):
+        path = str(tmp_path / str(i))
+        spark.createDataFrame([(base[j : j + n],) for j in range(0, len(base), n)], "seq string").coalesce(1).write.parquet(path)
+        began = time.time()
+        kmers(spark.read.parquet(path), KmerSpec(k=28)).write.format("noop").mode("overwrite").save()
+        took.append(time.time() - began)
+    assert took[2] < 8 * took[1] + 2
+
+
+def test_letters_of_several_bytes(spark):
+    from varispan.operators.kmers import KmerSpec, kmers
+
+    rows = spark.createDataFrame([("AéCGT",), ("ACG",)], "seq string")
+    assert sorted(r.kmer for r in kmers(rows, KmerSpec(k=3)).collect()) == ["ACG", "AéC", "CGT", "éCG"]

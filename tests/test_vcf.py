@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from varispan.operators import regions as R
@@ -122,6 +123,26 @@ def test_regions_end_to_end(spark, files):
     assert sum(counts.values()) == len(got)
 
 
+def test_positions_choose_windows_not_neighbours(spark, files):
+    """A range that holds one window alone tells that window as the whole search does."""
+    d, _ = files
+    args = (spark, str(d / "meta.csv"), str(d / "ref.fa"), str(d / "v.vcf"))
+    whole = {(r.chrom, r.pos, r.group): (r.type, r.region_id) for r in vcf_plan.search(*args).collect()}
+    part = {(r.chrom, r.pos, r.group): (r.type, r.region_id) for r in vcf_plan.search(*args, pos=(990, 1005)).collect()}
+    assert any(kind == "Diagnostic" for kind, _ in part.values())
+    assert part == {k: v for k, v in whole.items() if 990 <= k[1] <= 1005}
+
+
+def test_far_windows_need_no_python(spark, files):
+    """What the plan tells of windows far from diagnostic sites is what the classifier says of them."""
+    d, _ = files
+    args = (spark, str(d / "meta.csv"), str(d / "ref.fa"), str(d / "v.vcf"))
+    key = lambda rows: sorted((r.chrom, r.pos, r.group, r.type) for r in rows)
+    near = R.RegionOptions(tile=1000, halo=150)
+    everything = vcf_plan.search(*args).collect()
+    assert [k for k in key(vcf_plan.search(*args, options=near).collect()) if k[3] == "Undiagnostic"] == [k for k in key(everything) if k[3] == "Undiagnostic"]
+
+
 def test_tiles_agree(spark, files):
     d, _ = files
     args = (spark, str(d / "meta.csv"), str(d / "ref.fa"), str(d / "v.vcf"))
@@ -150,45 +171,59 @@ def test_unit_windows_equal_fold(spark):
         assert got[p].n_diagnostic == sum(r[4] is not None for r in part)
 
 
-def test_border_expression_equals_fold(spark):
+def track(variants, width=9):
+    return W.Track("g", variants, width)
+
+
+def test_border_stops_at_the_first_site_that_differs():
     rng = random.Random(2)
-    cases = []
-    for _ in range(150):
-        up = rng.random() < 0.5
-        edge = make(100, rng.randint(1, 3), rng.randint(1, 4))
-        p, near = 100, []
-        for _ in range(rng.randint(0, 5)):
-            p += rng.randint(1, 8) * (1 if up else -1)
-            near.append(make(p, rng.randint(1, 2), rng.randint(1, 4), "A" if rng.random() < 0.8 else None))
-        cases.append((edge, near))
-    rows = [(i, e.pos, e.shift("g"), [(v.pos, len(v.ref), v.group_len("g"), v.conserved("g")) for v in near]) for i, (e, near) in enumerate(cases)]
-    df = spark.createDataFrame(rows, "i int, pos int, shift int, near array<struct<pos:int,ref_len:int,group_len:int,conserved:string>>")
-    from pyspark.sql import functions as F
-
-    for r in df.select("i", W.conserved_border(F.col("pos"), F.col("shift"), F.col("near"), 14).alias("b")).collect():
-        e, near = cases[r.i]
-        assert (r.b.ref, r.b.group) == W.border("g", e, near, 14)
-    assert W.border("g", cases[0][0], [], 14) == (0, 0)
-
-
-def test_place_expression_equals_fold(spark):
+    for _ in range(100):
+        gaps = [rng.randint(1, 6) for _ in range(rng.randint(0, 6))]
+        fixed = [rng.random() < 0.7 for _ in gaps]
+        edge = 100
+        for side in (1, -1):
+            places = [edge + side * sum(gaps[: i + 1]) for i in range(len(gaps))]
+            sites = sorted([make(edge, 1, 1), *(make(p, 1, 1, "A" if f else None) for p, f in zip(places, fixed))], key=lambda v: v.pos)
+            at = next(i for i, v in enumerate(sites) if v.pos == edge)
+            near = np.arange(at + 1, len(sites)) if side > 0 else np.arange(at - 1, -1, -1)
+            bad = [abs(p - edge) - 1 for p, f in zip(places, fixed) if not f]
+            reach = [abs(p - edge) for p in places]
+            want = 14 if any(d >= 14 and (not bad or d - 1 <= bad[0]) for d in reach) else bad[0] if bad else max(reach, default=0)
+            assert track(sites).border(at, near, 14) == (want, want)
+
+
+def test_border_counts_group_bases():
+    # an insertion of two at 105, then a site that differs at 110: four bases, the insertion and four more
+    sites = [make(100, 1, 1), make(105, 1, 3), make(110, 1, 1, None)]
+    assert track(sites).border(0, np.array([1, 2]), 50) == (9, 11)
+    assert track(sites).border(0, np.array([1, 2]), 8) == (6, 8)
+    # the edge's own deletion counts on the side of higher places only
+    sites = [make(90, 1, 1, None), make(100, 3, 1), make(110, 1, 1, None)]
+    assert track(sites).border(1, np.array([2]), 50) == (9, 7)
+    assert track(sites).border(1, np.array([0]), 50) == (9, 9)
+
+
+def test_places_past_insertions_and_deletions():
     rng = random.Random(5)
-    rows = []
-    for i in range(100):
-        at = sorted(rng.sample(range(1, 60), 6))
-        rows.append((i, rng.randint(0, 20), rng.randint(0, 60), [(s, rng.randint(1, 3), rng.randint(0, 4)) for s in at]))
-    df = spark.createDataFrame(rows, "i int, origin int, off int, v array<struct<start:int,ref_len:int,group_len:int>>")
-    from pyspark.sql import functions as F
-
-    for r in df.select("i", W.reference_place(F.col("origin"), F.col("off"), F.col("v")).alias("p")).collect():
-        _, origin, off, vs = rows[r.i]
-        variants = [make(s + 1, n, g) if g else W.Variant("c", s + 1, "A" * n, n, {"g": ({"*": 1}, None, None, [])}) for s, n, g in vs]
-        assert r.p == W.place_of("g", variants, origin, off)
+    for _ in range(100):
+        at, sites = 0, []
+        for _ in range(6):
+            at += rng.randint(4, 9)
+            sites.append(make(at + 1, rng.randint(1, 3), rng.randint(1, 4)))
+        origin, offset = rng.randint(0, 20), rng.randint(0, 60)
+        begin, shift = [], 0
+        for v in sites:
+            if v.start >= origin:
+                begin.append((v.start - origin + shift, v.shift("g")))
+                shift += v.shift("g")
+        assert track(sites).place(slice(0, 6), origin, offset) == origin + offset - sum(s for b, s in begin if b < offset)
 
 
 def test_sequence_splices_and_marks():
     v = make(4, 1, 2, diagnostic="AA")
     assert "".join(R.sequence("ACGTACGT", 0, [v], 1, 5, "g")) == "cgAAac"
+    # an overlapping one: the site that ends first has the say
+    assert "".join(R.sequence("ACGTACGTAC", 0, [make(2, 4, 4), make(4, 1, 1, diagnostic="A")], 0, 9, "g")) == "aaaAaCGTAC".lower()[:3] + "A" + "acgtac"
     assert R.sequence("ACGTACGT", 0, [v], 1, 5, "g", True) == ["c", "g", "<AA3>", "a", "c"]
     assert "".join(R.sequence("ACGTACGT", 0, [v], 1, 5, None)) == "cgAac"
     assert "".join(R.sequence("ACGTACGT", 0, [v], 0, 1, "g")) == "ac"

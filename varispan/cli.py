@@ -1,6 +1,6 @@
-"""Command line: ``kmers`` (k-mer extraction), ``conserved`` (regions with conserved ends) and ``variants`` (regions from variant calls).
+"""Command line: ``kmers`` (k-mer extraction), ``conserved`` (regions with conserved ends), ``variants`` (regions from variant calls), ``find`` and ``annotate`` (places of sequences and of alignments in genomes).
 
-Results go to standard output, or to a folder that Spark writes (compressed if its name ends in .gz or .bz2).
+Input named ``-`` is standard input. Results go to standard output, or to a folder that Spark writes (compressed if its name ends in .gz or .bz2).
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import csv
 import logging
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
@@ -20,7 +20,9 @@ from .operators.regions import RegionOptions, type_counts
 from .operators.variants import VariantFilters
 from .plans import fasta_plan, vcf_plan
 from .plans.params import amplicon_sizes
+from .operators.search import annotate, find, read_alignments
 from .sources.fasta import is_rna, read_sequences
+from .sources.stdin import path_of
 
 log = logging.getLogger("varispan")
 
@@ -39,24 +41,33 @@ def _compression(path: str) -> str:
     return "gzip" if path.endswith(".gz") else "bzip2" if path.endswith(".bz2") else "none"
 
 
-def write_lines(df: DataFrame, path: str | None, out=None) -> None:
-    """One string column to a folder, or row by row to standard output."""
+def _counted(df: DataFrame, write) -> int:
+    """Rows that ``write`` wrote, counted on the way."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return seen.get["n"]
+
+
+def write_lines(df: DataFrame, path: str | None, out=None) -> int:
+    """One string column to a folder, or row by row to standard output; the number of rows."""
     if path:
-        df.write.mode("overwrite").option("compression", _compression(path)).text(path)
-        return
-    out = out or sys.stdout
+        return _counted(df, lambda rows: rows.write.mode("overwrite").option("compression", _compression(path)).text(path))
+    out, n = out or sys.stdout, 0
     for (line,) in df.toLocalIterator():
         out.write(line + "\n")
+        n += 1
+    return n
 
 
-def write_csv(df: DataFrame, path: str | None, out=None) -> None:
+def write_csv(df: DataFrame, path: str | None, out=None) -> int:
     if path:
-        df.write.mode("overwrite").option("header", True).option("compression", _compression(path)).csv(path)
-        return
-    rows = csv.writer(out or sys.stdout, lineterminator="\n")
+        return _counted(df, lambda rows: rows.write.mode("overwrite").option("header", True).option("compression", _compression(path)).csv(path))
+    rows, n = csv.writer(out or sys.stdout, lineterminator="\n"), 0
     rows.writerow(df.columns)
     for r in df.toLocalIterator():
         rows.writerow(["" if v is None else v for v in r])
+        n += 1
+    return n
 
 
 def _primer_options(p: argparse.ArgumentParser) -> None:
@@ -140,6 +151,19 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--force", action="store_true", help="go on without samples that the VCF lacks")
     v.add_argument("--order-by")
     _primer_options(v)
+
+    f = sub.add_parser("find", help="places of a sequence in genomes, on both strands")
+    f.add_argument("file", nargs="+")
+    f.add_argument("sequence")
+    f.add_argument("--padding", type=int, default=0)
+    f.add_argument("--cores", type=int)
+
+    n = sub.add_parser("annotate", help="places of an alignment's sequences in the genomes it is of")
+    n.add_argument("alignment")
+    n.add_argument("-r", "--ref", nargs="+", required=True, help="the genomes")
+    n.add_argument("-p", "--padding", type=int, default=0, help="bases to either side")
+    n.add_argument("-o", "--output")
+    n.add_argument("--cores", type=int)
     return top
 
 
@@ -147,12 +171,12 @@ def run_kmers(a) -> None:
     spark = _session(a.parallel, a.sort_mem)
     if a.sort_np:
         spark.conf.set("spark.sql.shuffle.partitions", a.sort_np)
-    rows = read_sequences(spark, a.file)
+    rows = read_sequences(spark, [path_of(spark, f) for f in a.file])
     spec = KmerSpec(
         k=tuple(a.kmers) if a.kmers else None, omit_soft=a.omit_softmask, map_soft=a.map_softmask, complements=a.complements, allow=a.allow, disallow=a.disallow, expand_iupac=a.expand_iupac,
         canonicals=a.canonicals, split=tuple(a.split) if a.split else None, rna=is_rna(rows), sort=a.sort, sort_columns=tuple(a.sort_cols) if a.sort_cols else None,
     )
-    write_lines(kmers(rows.select("seq"), spec).select("kmer"), a.output)
+    log.info("%d k-mers", write_lines(kmers(rows.select("seq"), spec).select("kmer"), a.output))
 
 
 def run_conserved(a) -> None:
@@ -175,8 +199,8 @@ def run_variants(a) -> None:
     spark = _session(a.cores)
     options = RegionOptions(a.crrna_len, tuple(a.var_location), min_bases=a.min_bases, primers=_primers(a), align=bool(a.out_align))
     filters = VariantFilters(a.min_samples, a.min_samp_prop, a.min_reads, a.min_geno_qual, a.min_map_qual, a.min_var_qual, a.min_freq)
-    regions = vcf_plan.search(spark, a.metadata, a.reference, a.vcf, a.groups, a.sample_col, a.group_col, a.chroms, tuple(a.pos) if a.pos else None, filters, options, a.force).persist()
-    write_csv(vcf_plan.csv_rows(regions, a.order_by), a.out_csv)
+    regions = vcf_plan.search(spark, a.metadata, a.reference, path_of(spark, a.vcf), a.groups, a.sample_col, a.group_col, a.chroms, tuple(a.pos) if a.pos else None, filters, options, a.force).persist()
+    log.info("%d regions", write_csv(vcf_plan.csv_rows(regions, a.order_by), a.out_csv))
     if a.out_align:
         write_lines(regions.where(F.col("alignment").isNotNull()).select("alignment"), a.out_align)
     for r in type_counts(regions).orderBy("type", "group").collect():
@@ -184,6 +208,19 @@ def run_variants(a) -> None:
         print(f"{r.type}{' ' + r.group if r.group else ''}: {r.n}", file=sys.stderr)
 
 
+def run_find(a) -> None:
+    spark = _session(a.cores)
+    wanted = spark.createDataFrame([(a.sequence,)], "query string")
+    found = find(read_sequences(spark, a.file), wanted, a.padding).orderBy("file", F.col("strand") == "reverse", "seq_id", "start")
+    write_lines(found.select(F.concat(F.rpad("seq_id", F.greatest(F.lit(8), F.length("seq_id")), " "), F.lit(" "), F.rpad(F.col("start").cast("string"), 8, " "), F.lit("   "), "sequence", F.lit("   "), F.col("end").cast("string"))), None)
+
+
+def run_annotate(a) -> None:
+    spark = _session(a.cores)
+    lines = annotate(read_alignments(spark, path_of(spark, a.alignment)), read_sequences(spark, a.ref), a.padding)
+    write_lines(lines.orderBy("alignment", "n").select("line"), a.output)
+
+
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
-    {"kmers": run_kmers, "conserved": run_conserved, "variants": run_variants}[a.command](a)
+    {"kmers": run_kmers, "conserved": run_conserved, "variants": run_variants, "find": run_find, "annotate": run_annotate}[a.command](a)

@@ -1,9 +1,7 @@
-"""Nucleotide expressions: Column to Column, all inside whole-stage code generation."""
+"""Nucleotide expressions: Column to Column. Those over arrays are higher-order functions, which run interpreted."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,7 +11,19 @@ BASES = {**{b: b for b in "ACGT"}, **CODES}
 _BY_SET = {v: k for k, v in BASES.items()}
 _PAIR_FROM = "ACGTRYKMBVDHSWN"
 _PAIR_TO = "TGCAYRMKVBHDSWN"
-_KNOWN = _PAIR_FROM + _PAIR_FROM.lower()
+#: Letters that have a complement, and those complements.
+KNOWN = _PAIR_FROM + _PAIR_FROM.lower()
+PAIRED = _PAIR_TO + _PAIR_TO.lower()
+
+
+def as_bytes(col: Column) -> Column:
+    """The bytes of an ASCII sequence, null for any other: where they are known, a place is reached without reading up to it."""
+    return F.when(F.octet_length(col) == F.length(col), col.cast("binary"))
+
+
+def piece(col: Column, raw: Column, start: Column, size: Column) -> Column:
+    """``size`` characters from ``start`` (from one) on; ``raw`` is ``as_bytes`` of the sequence, told once per sequence."""
+    return F.when(raw.isNotNull(), F.substring(raw, start, size).cast("string")).otherwise(F.substring(col, start, size))
 
 
 def only(col: Column, chars: str) -> Column:
@@ -33,10 +43,10 @@ def unmasked(col: Column) -> Column:
 
 def reverse_complement(col: Column, strict: bool = True) -> Column:
     """Reverse complement with ambiguity codes, case kept. ``strict`` fails on other characters."""
-    out = F.reverse(F.translate(col, _KNOWN, _PAIR_TO + _PAIR_TO.lower()))
+    out = F.reverse(F.translate(col, KNOWN, PAIRED))
     if not strict:
         return out
-    return F.when(only(col, _KNOWN), out).when(col.isNotNull(), F.raise_error(F.concat(F.lit("no complement for a character of "), col)).cast("string"))
+    return F.when(only(col, KNOWN), out).when(col.isNotNull(), F.raise_error(F.concat(F.lit("no complement for a character of "), col)).cast("string"))
 
 
 def canonical(col: Column, strict: bool = False) -> Column:
@@ -111,8 +121,8 @@ def undots(top: Column, masked: Column) -> Column:
 def occurrences(seq: Column, query: Column) -> Column:
     """Starts (from one) of all, also overlapping, occurrences."""
     n = F.length(seq) - F.length(query) + 1
-    return F.when(n > 0, F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(seq, i, F.length(query)) == query)).otherwise(F.array().cast("array<int>"))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+    raw, wanted = seq.cast("binary"), query.cast("binary")
+    starts = F.sequence(F.lit(1), n)
+    by_byte = F.filter(starts, lambda i: F.substring(raw, i, F.octet_length(query)) == wanted)
+    by_letter = F.filter(starts, lambda i: F.substring(seq, i, F.length(query)) == query)
+    return F.when(n <= 0, F.array().cast("array<int>")).when(F.octet_length(seq) == F.length(seq), by_byte).otherwise(by_letter)

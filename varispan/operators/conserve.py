@@ -22,23 +22,31 @@ def count_amplicons(rows: DataFrame) -> DataFrame:
     return rows.groupBy("l", "r", "d", "label", "file").agg(F.count("*").alias("n"))
 
 
-def conserved(counted: DataFrame, n_files: int) -> DataFrame:
-    """Alignments (l, r, amplicons) of the keys found in all files.
+#: Files to a word of the mask of a key's files.
+WORD = 63
 
-    ``amplicons`` is an array of (d, labels) in order of d, ``labels`` one of (label, n). One grouping does the N-way
-    intersection. A key's array is bounded by its distinct (d, label, file), not by its occurrences.
-    """
-    amplicon = F.struct("d", "label", "n")
-    keys = counted.groupBy("l", "r").agg(F.size(F.collect_set("file")).alias("files"), F.collect_list(amplicon).alias("rows"))
-    rows = keys.where(F.col("files") == n_files).select("l", "r", "rows")
-    ds = F.array_sort(F.array_distinct(F.transform("rows", lambda x: x["d"])))
 
-    def labels(d: Column) -> Column:
-        own = F.filter("rows", lambda x: x["d"] == d)
-        names = F.array_sort(F.array_distinct(F.transform(own, lambda x: x["label"])))
-        return F.transform(names, lambda name: F.struct(name.alias("label"), F.aggregate(F.filter(own, lambda x: x["label"] == name), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n")))
+def in_all_files(counted: DataFrame, files: list[str]) -> DataFrame:
+    """(l, r) of the keys found in all ``files``: masks of files are joined map-side, so what most keys bring to the shuffle is one row a task."""
+    number = F.element_at(F.create_map(*[F.lit(x) for i, f in enumerate(files) for x in (f, i)]), F.col("file"))
+    words = range(0, len(files), WORD)
+    bit = lambda w: F.when(number.between(w, w + WORD - 1), F.call_function("shiftleft", F.lit(1).cast("long"), number - w))
+    masks = counted.groupBy("l", "r").agg(*[F.bit_or(bit(w)).alias(f"_m{w}") for w in words])
+    for w in words:
+        masks = masks.where(F.col(f"_m{w}") == (1 << min(WORD, len(files) - w)) - 1)
+    return masks.select("l", "r")
+
 
-    return rows.select("l", "r", F.transform(ds, lambda d: F.struct(d.alias("d"), labels(d).alias("labels"))).alias("amplicons"))
+def conserved(counted: DataFrame, files: list[str]) -> DataFrame:
+    """Alignments (l, r, amplicons) of the keys found in all ``files``, values of ``counted.file``.
+
+    ``amplicons`` is an array of (d, labels) in order of d, ``labels`` one of (label, n). Only rows of such keys are gathered;
+    a key's array is bounded by its distinct (d, label), not by its occurrences.
+    """
+    rows = counted.join(in_all_files(counted, files), ["l", "r"], "left_semi")
+    one = rows.groupBy("l", "r", "d", "label").agg(F.sum("n").alias("n"))
+    amplicons = one.groupBy("l", "r", "d").agg(F.array_sort(F.collect_list(F.struct("label", "n"))).alias("labels"))
+    return amplicons.groupBy("l", "r").agg(F.array_sort(F.collect_list(F.struct("d", "labels"))).alias("amplicons"))
 
 
 def intersect(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -79,6 +87,19 @@ def variable_columns(amplicons: Column) -> Column:
     return F.filter(_places(amplicons), lambda p: F.size(A.bases_at(ds, p + 1)) > 1)
 
 
+def brackets(amplicons: Column, left: int, diag: int, ingroup: list[str]) -> Column:
+    """``{---}`` over the diagnostic part: ``*`` at variable offsets, ``#`` at those unique to the ingroup."""
+    variable, unique = variable_columns(amplicons), unique_columns(amplicons, ingroup)
+    mark = lambda p: F.when(F.array_contains(unique, p), "#").when(F.array_contains(variable, p), "*").otherwise("-")
+    return F.concat(F.lit(" " * (left - 1) + "{"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(diag - 1)), mark), ""), F.lit("}"))
+
+
+def dotted(left: Column, amplicons: Column, right: Column) -> Column:
+    """Array of the whole amplicons, with dots where they equal the first."""
+    whole = F.transform(amplicons, lambda a: F.concat(left, a["d"], right))
+    return F.transform(whole, lambda x: A.dots(F.get(whole, F.lit(0)), x))
+
+
 def _of(amplicons: Column, ingroup: list[str], inside: bool) -> Column:
     mine = F.array(*[F.lit(x) for x in ingroup]) if ingroup else F.array().cast("array<string>")
     some = lambda a: F.exists(a["labels"], lambda x: F.array_contains(mine, x["label"]) if inside else ~F.array_contains(mine, x["label"]))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alphabet as A
 
-#: Longest stretch whose k-mers one row expands to; longer sequences are cut into overlapping tiles first.
+#: Starts that are generated at once.
 TILE = 1 << 16
 
 
@@ -43,17 +43,20 @@ class KmerSpec:
         return () if self.k is None else (self.k,) if isinstance(self.k, int) else tuple(self.k)
 
 
-def explode_kmers(df: DataFrame, sizes: tuple[int, ...], column: str = "seq", out: str = "kmer") -> DataFrame:
-    """One row per k-mer for each k; all other columns are kept. A sequence shorter than k gives none.
+def explode_kmers(df: DataFrame, sizes: tuple[int, ...], column: str = "seq", out: str = "kmer", place: str | None = None) -> DataFrame:
+    """One row per k-mer for each k; all other columns are kept, and ``place`` is its start, from one, if named. A sequence shorter than k gives none.
 
-    Rows are tiles of at most TILE starts, so a whole chromosome never becomes one array; a start is in one tile only.
+    Starts are generated in runs of TILE, so no array grows with a chromosome. A k-mer is cut from the sequence's bytes, which
+    takes the same time at any start; from its characters only where the sequence is not ASCII.
     """
     keep = [c for c in df.columns if c != column]
     parts = []
     for k in sizes:
-        rows = df.where(F.length(column) >= k)
-        tiles = rows.select(*keep, F.explode(F.transform(F.sequence(F.lit(0), F.length(column) - k, F.lit(TILE)), lambda a: F.substring(F.col(column), a + 1, F.lit(TILE + k - 1)))).alias("_tile"))
-        parts.append(tiles.select(*keep, F.explode(F.transform(F.sequence(F.lit(1), F.length("_tile") - k + 1), lambda i: F.substring(F.col("_tile"), i, F.lit(k)))).alias(out)))
+        n = F.length(column)
+        rows = df.where(n >= k).select("*", (n - k + 1).alias("_n"), A.as_bytes(F.col(column)).alias("_bytes"))
+        runs = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("_n"), F.lit(TILE))).alias("_from"))
+        starts = runs.select(*keep, column, "_bytes", F.explode(F.sequence(F.col("_from"), F.least("_n", F.col("_from") + (TILE - 1)))).alias("_at"))
+        parts.append(starts.select(*keep, *([F.col("_at").alias(place)] if place else []), A.piece(F.col(column), F.col("_bytes"), F.col("_at"), F.lit(k)).alias(out)))
     out_df = parts[0]
     for p in parts[1:]:
         out_df = out_df.unionByName(p)
@@ -90,13 +93,15 @@ def kmers(df: DataFrame, spec: KmerSpec, column: str = "seq", out: str = "kmer")
         df = df.where(A.unmasked(m))
     if spec.map_soft:
         df = df.withColumn(out, F.upper(m))
-    if spec.disallow and A.reverse_complement and _self_paired(spec.disallow):
+    # a set closed under complement may be looked for before the strands part, but for letters that have no complement at all
+    early = spec.disallow is not None and _self_paired(spec.disallow) and not (spec.complements and set(spec.disallow) - set(A.KNOWN))
+    if spec.disallow and early:
         df = df.where(A.without(m, spec.disallow))
     if spec.complements:
         df = df.withColumn(out, F.explode(F.array(m, A.reverse_complement(m))))
     if spec.allow is not None:
         df = df.where(A.only(m, spec.allow))
-    if spec.disallow and not _self_paired(spec.disallow):
+    if spec.disallow and not early:
         df = df.where(A.without(m, spec.disallow))
     if spec.expand_iupac:
         df = df.withColumn(out, F.explode(A.expansions(m)))
@@ -114,5 +119,5 @@ def kmers(df: DataFrame, spec: KmerSpec, column: str = "seq", out: str = "kmer")
 
 def _self_paired(chars: str) -> bool:
     """True if the set is closed under complement, so that a filter on it may stand before the strands part."""
-    pairs = dict(zip(A._PAIR_FROM + A._PAIR_FROM.lower(), A._PAIR_TO + A._PAIR_TO.lower()))
+    pairs = dict(zip(A.KNOWN, A.PAIRED))
     return all(pairs.get(c, c) in chars for c in chars)

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import alphabet as A
+
 SITE = ["chrom", "pos", "site_idx"]
 
 
@@ -36,11 +38,6 @@ def present_alleles(f: VariantFilters) -> Column:
     return F.array_distinct(F.coalesce(kept, F.array().cast("array<string>")))
 
 
-def heterozygous_alleles(f: VariantFilters, unknown: str = "?") -> Column:
-    """The call as one text: its alleles joined by ``/``, ``unknown`` with no reads."""
-    return F.when(F.col("dp") == 0, unknown).otherwise(F.array_join(F.array_sort(present_alleles(f)), "/"))
-
-
 def count_map(items: Column) -> Column:
     """Map of each distinct item to its number."""
     return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(items)), lambda a: F.struct(a, F.size(F.filter(items, lambda x: x == a)).cast("long"))))
@@ -55,14 +52,14 @@ def longest_allele(counts: Column, ref: Column) -> Column:
     return F.coalesce(F.array_max(F.map_values(allele_lengths(counts))), F.length(ref))
 
 
-def group_variants(calls: DataFrame, sample_groups: DataFrame, f: VariantFilters | None = None) -> DataFrame:
+def group_variants(calls: DataFrame, sample_groups: DataFrame, f: VariantFilters | None = None, samples: list[str] | None = None) -> DataFrame:
     """One row per site and group: ref, alleles, rlen, qual, mq, grp, group_size, sample_count, missing, allele_counts, conserved, diagnostic.
 
     A site's calls lie in one input row or partition, so the partial aggregation leaves a row per site and group to
-    shuffle. A group without a call at a site has no samples there, and then no group is diagnostic.
+    shuffle. ``samples`` are those that have calls, where known: else the calls are read once more for them. A group without a call at a site has no samples there, and then no group is diagnostic.
     """
     f = f or VariantFilters()
-    present = calls.select("sample").distinct()
+    present = calls.select("sample").distinct() if samples is None else calls.sparkSession.createDataFrame([(s,) for s in samples], "sample string")
     mine = sample_groups.join(present, "sample", "left_semi")
     sizes = mine.groupBy("grp").agg(F.count("*").alias("group_size"))
     every = F.sort_array(F.collect_list(F.struct("grp", "group_size")))
@@ -93,3 +90,11 @@ def call_groups(rows: DataFrame, f: VariantFilters) -> DataFrame:
     rows = rows.withColumn("_all", F.min(enough.cast("int")).over(site)).withColumn("_sets", F.collect_list(F.struct("grp", keys.alias("a"))).over(site))
     elsewhere = F.exists("_sets", lambda x: (x["grp"] != F.col("grp")) & F.array_contains(x["a"], F.col("_single")))
     return rows.withColumn("_single", single).withColumn("diagnostic", F.when(usable & (F.col("_all") == 1) & F.col("_single").isNotNull() & ~elsewhere, F.col("_single"))).drop("_all", "_sets", "_single")
+
+
+def group_sequences(grouped: DataFrame) -> DataFrame:
+    """(chrom, grp, seq): each group's consensus over the sites of a chromosome in order, upper-case where diagnostic, N without data."""
+    base = F.when(F.size("allele_counts") == 0, "N").otherwise(A.consensus(F.map_keys("allele_counts")))
+    token = F.when(F.col("diagnostic").isNotNull(), F.upper(base)).otherwise(F.lower(base))
+    rows = grouped.groupBy("chrom", "grp").agg(F.array_sort(F.collect_list(F.struct("pos", "site_idx", token.alias("t")))).alias("x"))
+    return rows.select("chrom", "grp", F.array_join(F.transform("x", lambda v: v["t"]), "").alias("seq"))

@@ -12,13 +12,13 @@ from ..deploy import ship
 from ..operators import conserve as C
 from ..operators.primers import PrimerOptions, design_rows
 from ..operators.render import amplicon_alignment
-from ..sources.fasta import label_of, read_sequences
+from ..sources.fasta import files_of, label_of, read_sequences
 
 
-def regions(sequences: DataFrame, n_files: int, sizes: tuple[int, int, int], ingroup: list[str], has_outgroup: bool, omit_soft: bool = False) -> DataFrame:
-    """l, r, amplicons, left_seq, diag_seq, right_seq of each region. ``sequences``: file, label, seq. Without a diagnostic part nothing is tested."""
+def regions(sequences: DataFrame, files: list[str], sizes: tuple[int, int, int], ingroup: list[str], has_outgroup: bool, omit_soft: bool = False) -> DataFrame:
+    """l, r, amplicons, left_seq, diag_seq, right_seq of each region. ``sequences``: file, label, seq; ``files``: all values of file. Without a diagnostic part nothing is tested."""
     left, diag, right = sizes
-    found = C.conserved(C.count_amplicons(C.split_kmers(sequences, left, diag, right, omit_soft)), n_files)
+    found = C.conserved(C.count_amplicons(C.split_kmers(sequences, left, diag, right, omit_soft)), files)
     if diag > 0:
         found = C.diagnostic(found, ingroup)
     return C.csv_rows(found, ingroup if has_outgroup else None)
@@ -34,7 +34,7 @@ def search(spark: SparkSession, ingroup: list[str], outgroup: list[str], sizes:
     paths = [*ingroup, *outgroup]
     sequences = read_sequences(spark, paths)
     labels = labels_of(spark, ingroup)
-    out = regions(sequences, len(paths), sizes, labels, bool(outgroup), omit_soft)
+    out = regions(sequences, files_of(sequences), sizes, labels, bool(outgroup), omit_soft)
     if primers is not None:
         template = F.concat("left_seq", "diag_seq", "right_seq")
         out = design_rows(out.withColumn("template", template).withColumn("target_start", F.lit(sizes[0])).withColumn("target_len", F.lit(sizes[1])), primers)

@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from ..functions import alphabet as A
 from ..functions import thermo as T
 from ..operators import conserve as C
+from ..operators import regions as R
+from ..operators import search as S
 from ..operators import variants as V
 from ..operators import windows as W
 from ..operators.kmers import KmerSpec, kmers
 
 INGROUP = ["en"]
 SIZES = (5, 1, 2)
+FIND = ["ACGTA", "TTGCA"]
+STEP = 40
 FILTERS = V.VariantFilters(min_samples=3, min_samp_prop=0.7, min_reads=5, min_geno_qual=30)
 
 
@@ -63,8 +67,8 @@ def amplicon_rows(spark, d) -> DataFrame:
 
 def alignments(spark, d) -> DataFrame:
     # one file per label of the table
-    n = read(spark, d, "documents").select("lang").distinct().count()
-    return C.conserved(C.count_amplicons(amplicon_rows(spark, d)), n)
+    files = [r.lang for r in read(spark, d, "documents").select("lang").distinct().where("lang is not null").orderBy("lang").collect()]
+    return C.conserved(C.count_amplicons(amplicon_rows(spark, d)), files)
 
 
 def j01(spark, d):
@@ -117,14 +121,18 @@ def a08(spark, d):
 
 def t02(spark, d):
     left, diag, _ = SIZES
-    found = alignments(spark, d).select("l", "r", C.variable_columns(F.col("amplicons")).alias("v"), C.unique_columns(F.col("amplicons"), INGROUP).alias("u"))
-    marks = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(diag - 1)), lambda p: F.when(F.array_contains("u", p), "#").when(F.array_contains("v", p), "*").otherwise("-")), "")
-    return found.select("l", "r", F.concat(F.lit(" " * (left - 1) + "{"), marks, F.lit("}")).alias("bracket"))
+    return alignments(spark, d).select("l", "r", C.brackets(F.col("amplicons"), left, diag, INGROUP).alias("bracket"))
 
 
 def t03(spark, d):
-    rows = alignments(spark, d).select("l", "r", F.transform("amplicons", lambda a: F.concat("l", a["d"], "r")).alias("s"))
-    return rows.select("l", "r", F.array_join(F.transform("s", lambda x: A.dots(F.get("s", F.lit(0)), x)), "|").alias("text"))
+    return alignments(spark, d).select("l", "r", F.array_join(C.dotted(F.col("l"), F.col("amplicons"), F.col("r")), "|").alias("text"))
+
+
+def t08(spark, d):
+    """Every place of two sequences on either strand, with two bases of padding."""
+    seqs = sequences(spark, d).select(F.col("doc_id").cast("string").alias("file"), "label", F.col("doc_id").cast("string").alias("seq_id"), "seq")
+    wanted = spark.createDataFrame([(q,) for q in FIND], "query string")
+    return S.find(seqs, wanted, 2).select(F.col("seq_id").cast("long").alias("doc_id"), "query", "strand", F.col("start").cast("long").alias("first"), F.col("end").cast("long").alias("last"), "sequence")
 
 
 def a17(spark, d):
@@ -226,11 +234,16 @@ def w06(spark, d):
 
 
 def q01(spark, d):
-    """Each group's sequence over the sites of a chromosome: the consensus, upper-case where diagnostic, N without data."""
-    base = F.when(F.size("allele_counts") == 0, "N").otherwise(A.consensus(F.map_keys("allele_counts")))
-    token = F.when(F.col("diagnostic").isNotNull(), F.upper(base)).otherwise(F.lower(base))
-    rows = grouped(spark, d).groupBy("chrom", "grp").agg(F.array_sort(F.collect_list(F.struct("pos", token.alias("t")))).alias("x"))
-    return rows.select("chrom", "grp", F.array_join(F.transform("x", lambda v: v["t"]), "").alias("seq"))
+    return V.group_sequences(grouped(spark, d))
+
+
+def r04(spark, d):
+    """Verdicts on windows of sites STEP bases apart, from calls to primer design; found regions with and without primers count as one kind."""
+    rows = grouped(spark, d).withColumn("pos", (F.expr("(pos - 1) div 2") * STEP + 1).cast("int"))
+    longest = rows.groupBy("chrom").agg(F.max("pos").alias("n"))
+    reference = longest.select("chrom", F.array_join(F.transform(F.sequence(F.lit(0), F.expr("n div 32")), lambda i: F.translate(F.md5(F.concat("chrom", i.cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGT")), "").alias("seq"))
+    found = R.find_regions(rows, reference, R.RegionOptions(tile=8000, halo=2000))
+    return found.select("chrom", F.col("group").alias("grp"), F.col("pos").cast("long").alias("pos"), F.when(F.col("type").isin("Diagnostic", "No primers"), "Region").otherwise(F.col("type")).alias("type"))
 
 
 def p01_gc(spark, d):
@@ -280,6 +293,7 @@ QUERIES = {
     "a17_edit_distance": a17,
     "t02_bracket": t02,
     "t03_dots": t03,
+    "t08_find": t08,
     "j09_groups": j09,
     "j10_anti": j10,
     "a09_sample_counts": a09,
@@ -291,6 +305,7 @@ QUERIES = {
     "w01_window": w01,
     "w06_cumulative": w06,
     "r01_early_types": r01,
+    "r04_regions": r04,
     "a10_region_types": a10,
     "q01_sequence": q01,
     "p01_gc": p01_gc,
@@ -368,6 +383,9 @@ def _sql_tm(k: int) -> str:
 
 
 _STAB = f"round(list_sum(list_transform(range(4, 8), lambda i: {_sql_map(T._STABILITY, 0)}[substring(kmer, i::int, 2)])) - {_sql_map(T._END_STABILITY, 0)}[substring(kmer, 4, 1)] - {_sql_map(T._END_STABILITY, 0)}[substring(kmer, 8, 1)], 2)"
+_FAR = """case when {0}1 is null then 0 when {0}1 >= 150 then 150 when not {0}c1 then {0}1 - 1 when {0}2 is null then {0}1 when {0}2 >= 150 then 150 when not {0}c2 then {0}2 - 1
+  when {0}3 is null then {0}2 when {0}3 >= 150 then 150 when not {0}c3 then {0}3 - 1 when {0}4 is null then {0}3 else 150 end"""
+_NEAR = ", ".join(f"abs({f}(pos, {i}) over w - pos) as {n}{i}, {f}(conserved is not null, {i}) over w as {n}c{i}" for f, n in (("lead", "u"), ("lag", "d")) for i in (1, 2, 3, 4))
 _UNIQUE = "case when shared then '' else '0' end"
 
 SQL = {
@@ -396,6 +414,12 @@ SQL = {
     "a17_edit_distance": _amps("select l, r, levenshtein(l, r || min(d))::bigint as edits from amp group by 1, 2"),
     "t02_bracket": _amps(f"select l, r, '{' ' * (_L - 1)}{{' || case when not shared then '#' when bases > 1 then '*' else '-' end || '}}' as bracket from col"),
     "t03_dots": _amps(f"select l, r, string_agg(case when d = top then '{'.' * (_L + _D + _R)}' else '{'.' * _L}' || d || '{'.' * _R}' end, '|' order by d) as text from (select distinct l, r, d, min(d) over (partition by l, r) as top from amp) group by 1, 2"),
+    "t08_find": f"""with s as (select doc_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) as seq from documents),
+q(query) as (values {', '.join(f"('{q}')" for q in FIND)}),
+p as (select query, 'forward' as strand, query as piece from q union all select query, 'reverse', reverse(translate(query, 'ACGT', 'TGCA')) from q),
+h as (select doc_id, query, strand, seq, unnest(list_filter(range(1, length(seq) - length(piece) + 2), lambda i: substring(seq, i::int, length(piece)) = piece)) as pos from s cross join p where length(seq) >= length(piece)),
+t as (select doc_id, query, strand, greatest(pos - 2, 1) as first, pos + length(query) + 2 as last, substring(seq, greatest(pos - 2, 1)::int, (pos + length(query) + 2 - greatest(pos - 2, 1))::int) as x from h)
+select doc_id, query, strand, first::bigint as first, last::bigint as last, case when strand = 'forward' then x else lower(reverse(translate(x, 'ACGT', 'TGCA'))) end as sequence from t""",
     "j09_groups": _cells("select chrom, grp, count(*) as n_calls, count(distinct sample) as n_samples from gt group by 1, 2"),
     "j10_anti": _cells("select chrom, s.sample, count(*) as n_missing from sites cross join (select distinct sample from gt where grp = 'g0') s where not exists (select 1 from gt where gt.chrom = sites.chrom and gt.pos = sites.pos and gt.sample = s.sample) group by 1, 2"),
     "a09_sample_counts": _cells("select chrom, pos, grp, sample_count, group_size from v"),
@@ -407,6 +431,8 @@ SQL = {
     "w01_window": _cells("select chrom, grp, pos, n_vars, n_diagnostic, n_conserved, from_pos from win"),
     "w06_cumulative": _cells("select chrom, grp, pos, sum(sample_count) over (partition by chrom, grp order by pos rows unbounded preceding)::bigint as running from v"),
     "r01_early_types": _cells("select chrom, grp, pos, type from types"),
+    "r04_regions": _cells(f"""select chrom, grp, pos, case when not diag then 'Undiagnostic' when u1 is null or d1 is null or {_FAR.format('u')} < 44 or {_FAR.format('d')} < 43 then 'Unconserved' else 'Region' end as type
+from (select chrom, grp, pos, diag, {_NEAR} from (select chrom, grp, ((pos - 1) // 2 * {STEP} + 1)::bigint as pos, diagnostic is not null as diag, conserved from v) window w as (partition by chrom, grp order by pos))"""),
     "a10_region_types": _cells("select type, grp, count(*) as n from types group by 1, 2"),
     "q01_sequence": _cells(f"select chrom, grp, string_agg(case when diagnostic is not null then upper(coalesce(code, 'N')) else lower(coalesce(code, 'N')) end, '' order by pos) as seq from (select v.*, case when nref > 0 and nalt > 0 then least(ref, alt) || greatest(ref, alt) when nref > 0 then ref when nalt > 0 then alt end as bases from v) left join {_IUPAC} using (bases) group by 1, 2"),
     "p01_gc": "select doc_id, round(100.0 * length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq), 6)::double as gc from (select doc_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) as seq from documents) where length(seq) > 0",

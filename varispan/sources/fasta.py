@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,11 @@ def label_of(path: Column) -> Column:
     return F.split_part(name, F.lit("."), F.lit(1))
 
 
+def file_name() -> Column:
+    """Path of the file of a row, without URL escapes."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def stem_of(path: Column) -> Column:
     """File name without directories and without trailing sequence and compression endings."""
     name = F.regexp_extract(path, r"([^/]*)$", 1)
@@ -22,6 +30,12 @@ def stem_of(path: Column) -> Column:
     return name
 
 
+def files_of(sequences: DataFrame) -> list[str]:
+    """The values of ``file`` in what was read, from the list of files alone."""
+    # an empty authority is told there and left out in the rows
+    return sorted({re.sub("^([a-z0-9]+):///", r"\1:/", unquote(f)) for f in sequences.inputFiles()})
+
+
 def looks_like_fasta(spark: SparkSession, paths: list[str]) -> bool:
     """True if the first line of the first file holds a ``>``."""
     first = spark.read.text(paths[0]).limit(1).first()
@@ -35,7 +49,7 @@ def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
     parallel and no header is matched to its lines by position.
     """
     # the first record keeps its own mark; the others have lost it to the separator
-    raw = spark.read.option("lineSep", "\n>").text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    raw = spark.read.option("lineSep", "\n>").text(paths).select(file_name().alias("file"), "value")
     body = F.regexp_replace("value", "^>", "")
     header = F.regexp_extract(body, r"^([^\r\n]*)", 1)
     seq = F.regexp_replace(F.regexp_replace(body, r"^[^\r\n]*", ""), r"\s+", "")
@@ -44,7 +58,7 @@ def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file, label, seq_id, seq): one sequence per stripped line; blank lines are left out. seq_id is null."""
-    raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.trim(F.regexp_replace("value", r"[\r\t]", " ")).alias("seq"))
+    raw = spark.read.text(paths).select(file_name().alias("file"), F.trim(F.regexp_replace("value", r"[\r\t]", " ")).alias("seq"))
     return raw.where("seq <> ''").select("file", label_of(F.col("file")).alias("label"), F.lit(None).cast("string").alias("seq_id"), "seq")
 
 
@@ -56,6 +70,7 @@ def read_sequences(spark: SparkSession, paths: str | list[str], fasta: bool | No
 
 
 def is_rna(sequences: DataFrame) -> bool:
-    """RNA if the first sequence with a T or U has a U and no T; neither anywhere counts as DNA. Order is by file and id."""
-    seen = sequences.where(F.col("seq").rlike("[TtUu]")).select(F.col("seq").rlike("[Tt]").alias("dna")).limit(1).first()
-    return seen is not None and not seen.dna
+    """RNA if the first sequence with a T or U has a U and no T; neither anywhere counts as DNA. The first is that of least file, then of least place in it."""
+    told = sequences.select(F.col("file") if "file" in sequences.columns else F.lit("").alias("file"), F.monotonically_increasing_id().alias("place"), F.col("seq").rlike("[Tt]").alias("dna"), F.col("seq").rlike("[Uu]").alias("rna"))
+    seen = told.where("dna or rna").agg(F.min_by("dna", F.struct("file", "place")).alias("dna")).first()
+    return seen.dna is False
