@@ -39,3 +39,12 @@ def test_narrow_margins_are_rejected(spark):
     raw = {"a": b"alpha beta gamma delta " * 20, "b": b"alpha beta gamma delta " * 20}
     r = langid.predict(spark.createDataFrame([(1, "alpha beta gamma")], "doc_id long, text string"), raw).first()
     assert r.rejected and r.lang_pred == "a"
+
+
+def test_signs_are_not_letters(spark):
+    raw = {"de": b"der die das und nicht ist", "en": b"the and of that is not"}
+    rows = [(1, "² ½ ①"), (2, "12 _ ²!"), (3, "²a"), (4, "ª"), (5, "中")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), raw).collect()}
+    assert got[1] == got[2] == ("und", 0.0)
+    assert all(got[i][0] in raw for i in (3, 4, 5))
+    assert [langid.has_letter(t) for t in ("", "²³¹¼½¾", "x²", "é", "ª")] == [False, False, True, True, True]

@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_SIGN = re.compile(r"[^\W\d_]+")
 #: Bytes of digits, ASCII punctuation and controls become spaces; letters and all of multi-byte UTF-8 stay.
 _ONLY_LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """True if a character is a letter (``str.isalpha``); signs such as superscripts and fractions are not."""
+    return any(c.isalpha() for run in _WORD_SIGN.finditer(text) for c in run.group())
+
+
 def normal(text: str) -> bytes:
     """Lower-cased letters with single spaces between runs."""
     return b" ".join(text.lower().encode().translate(_ONLY_LETTERS).split())
@@ -66,7 +71,7 @@ def predict(docs: DataFrame, raw: dict[str, bytes], level: int = 6, margin: floa
             langs, scores, rejected = [], [], []
             for t in b.column(1):
                 text = t.as_py()
-                if not s.langs or text is None or not _LETTER.search(text):
+                if not s.langs or text is None or not has_letter(text):
                     langs.append("und")
                     scores.append(0.0)
                     rejected.append(True)
