@@ -97,9 +97,41 @@ def test_transform_is_a_rotation():
     x = np.random.default_rng(1).normal(size=(4, 16))
     y = neighbours.hadamard(x)
     assert np.allclose(x @ x.T, y @ y.T)
-    h = neighbours.Hash(10, 2.0, 3)
+    h = neighbours.Hash(10, 2.0, 30 * 200, 3)
     b = h.buckets(np.random.default_rng(2).normal(size=(50, 10)) / 10)
-    assert b.shape == (3, 50) and b.min() >= 0 and b.max() < 2 * h.dim
+    assert b.shape == (3, 50) and b.min() >= 0 and b.max() < h.keys == 32
+
+
+@pytest.mark.parametrize("rows", [10, 10_000, 1_000_000, 10**10])
+def test_buckets_keep_their_size_as_the_table_grows(rows):
+    h = neighbours.Hash(100, 1.0, rows, 1)
+    assert 0.5 <= rows / h.keys / neighbours.BUCKET_ROWS <= 2 or h.keys == 2
+    x = np.random.default_rng(3).normal(size=(4, 100)) / 20
+    # a query's first probe is the bucket of its own direction, and no key comes twice
+    near = h.probes(x, 0, 300)
+    own = h.buckets(x / np.linalg.norm(x, axis=1, keepdims=True))[0]
+    assert (near[:, 0] == own).all()
+    assert all(len(set(r)) == min(300, h.keys) for r in near.tolist())
+
+
+def test_several_axes_find_what_one_would(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BUCKET_ROWS", 4)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 12))
+    rows = [(i, (centres[i % 40] + 0.2 * rng.normal(size=12)).tolist()) for i in range(1200)]
+    want = plain(rows, 20)
+    assert len(neighbours.Hash(12, 1.0, 1200).sizes) == 2
+    assert recall(found(neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))), want) >= 0.9
+
+
+def test_equal_vectors_have_equal_scores_wherever_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CANDIDATES", 5)
+    rng = np.random.default_rng(13)
+    x, y = rng.normal(size=37).tolist(), rng.normal(size=37).tolist()
+    rows = [(20, x)] + [(i, y) for i in range(100, 118)] + [(i, rng.normal(size=37).tolist()) for i in range(200, 219)]
+    got = found(neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=10))[20]
+    scores = {i: s for i, s in got if i < 200}
+    assert len(set(scores.values())) <= 1 and sorted(scores) == list(range(100, 100 + len(scores)))
 
 
 def test_buckets_are_dealt_whole(spark, monkeypatch):
