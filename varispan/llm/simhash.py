@@ -424,7 +424,8 @@ def _group(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, tau
         more = scratch.save(similar_pairs(apart, texts, words, similarity).unionByName(blocks), "links")
     if not more.isEmpty():
         roots = scratch.save(forest_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch), "roots")
-    scratch.drop(texts)
+    for table in (texts, met, prints, edges, more):
+        scratch.drop(table)
     return roots
 
 
