@@ -227,7 +227,8 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, re
                 for t in range(h.tables):
                     near = h.probes(x[i : i + 1024], t, probes)
                     rows = pa.array(i + np.repeat(np.arange(len(near)), near.shape[1]))
-                    yield pa.RecordBatch.from_arrays([pa.array(near.ravel() + h.keys * t), *[c.take(rows) for c in b.columns]], names=["key", "id", "vec"])
+                    place = np.tile(np.arange(near.shape[1], dtype=np.int32), len(near))
+                    yield pa.RecordBatch.from_arrays([pa.array(near.ravel() + h.keys * t), pa.array(place), *[c.take(rows) for c in b.columns]], names=["key", "place", "id", "vec"])
 
     def rerank(key, left, right):
         ids_c, ids_q = left.column("id").to_numpy(), right.column("id").to_numpy()
@@ -235,35 +236,46 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, re
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         y, x = (dense(t.column("vec").combine_chunks(), h.width) for t in (left, right))
         score = x @ y.T
-        qi, ci = best(ids_q, ids_c, score, k)
+        floor = right.column("floor").to_numpy()[:, None]
+        qi, ci = best(ids_q, ids_c, np.where(score >= floor - NOISE * np.abs(floor), score, -np.inf) if np.isfinite(floor).any() else score, k)
         return pa.table({"query_id": ids_q[qi], "vec_id": ids_c[ci], "score": score[qi, ci]})
 
     kinds = [t.schema["embedding"].dataType.simpleString() for t in (cands, q)]
     idx = scratch.save(arrow_map(cands, index, f"key long, id long, vec {kinds[0]}"), "index")
-    prb = scratch.save(arrow_map(q, probe, f"key long, id long, vec {kinds[1]}"), "probes")
-    # blocks of a key: one in most
-    parts = idx.groupBy("key").agg(F.ceil(F.count("*") / CANDIDATES).cast("int").alias("nc")).join(prb.groupBy("key").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("nq")), "key")
-    parts = scratch.save(parts, "blocks")
+    prb = scratch.save(arrow_map(q, probe, f"key long, place int, id long, vec {kinds[1]}"), "probes")
     deal = F.xxhash64("id")
-    left = idx.join(parts, "key").withColumn("cb", F.pmod(deal, "nc").cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
-    right = prb.join(parts, "key").withColumn("qb", F.pmod(deal, "nq").cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("nc") - 1)))
     keys = ["key", "cb", "qb"]
-    found = left.select(*keys, "id", "vec").groupBy(*keys).cogroup(right.select(*keys, "id", "vec").groupBy(*keys)).applyInArrow(rerank, out)
-    found = scratch.save(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
-    for table in (idx, prb, parts):
-        scratch.drop(table)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+
+    def ranked(asked: DataFrame) -> DataFrame:
+        """The best of each block of a key (one block in most) for each of its probes; ``asked``: key, id, vec, floor."""
+        parts = idx.groupBy("key").agg(F.ceil(F.count("*") / CANDIDATES).cast("int").alias("nc")).join(asked.groupBy("key").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("nq")), "key")
+        parts = scratch.save(parts, "blocks")
+        left = idx.join(parts, "key").withColumn("cb", F.pmod(deal, "nc").cast("int")).withColumn("qb", every(F.col("nq")))
+        right = asked.join(parts, "key").withColumn("qb", F.pmod(deal, "nq").cast("int")).withColumn("cb", every(F.col("nc")))
+        met = left.select(*keys, "id", "vec").groupBy(*keys).cogroup(right.select(*keys, "id", "vec", "floor").groupBy(*keys)).applyInArrow(rerank, out)
+        return scratch.save(met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
+
+    # the nearest bucket of each table first: what scores under its k-th best can't be among the k
+    top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    nothing = F.lit(float("-inf")).alias("floor")
+    found = ranked(prb.where("place = 0").select("key", "id", "vec", nothing))
+    if probes > 1:
+        floors = found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+        rest = prb.where("place > 0").join(floors, "id", "left").select("key", "id", "vec", F.coalesce("least", F.lit(float("-inf"))).alias("floor"))
+        found = scratch.save(found.unionByName(ranked(rest)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
+    scratch.drop(idx)
+    scratch.drop(prb)
     full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
     short = scratch.save(q.join(full, F.col("vec_id") == F.col("query_id"), "left_anti").select(F.lit(0).alias("key"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), "short")
     wanting = short.count()
     if wanting:  # all candidates, in blocks
         nc, nq = -(-cands.count() // CANDIDATES), -(-wanting // QUERIES)
         block = lambda n: F.pmod(deal, F.lit(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = cands.select(F.lit(0).alias("key"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec")).withColumn("cb", block(nc)).withColumn("qb", every(nq))
-        right = short.withColumn("qb", block(nq)).withColumn("cb", every(nc))
-        more = left.select(*keys, "id", "vec").groupBy(*keys).cogroup(right.select(*keys, "id", "vec").groupBy(*keys)).applyInArrow(rerank, out)
+        left = cands.select(F.lit(0).alias("key"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec")).withColumn("cb", block(nc)).withColumn("qb", every(F.lit(nq)))
+        right = short.withColumn("qb", block(nq)).withColumn("cb", every(F.lit(nc)))
+        more = left.select(*keys, "id", "vec").groupBy(*keys).cogroup(right.select(*keys, "id", "vec", nothing).groupBy(*keys)).applyInArrow(rerank, out)
         found = found.unionByName(more).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = F.max(F.when(F.col("rank") == k, F.col("score"))).over(Window.partitionBy("query_id"))
     near = found.withColumn("rank", F.row_number().over(top)).withColumn("kth", kth).where((F.col("rank") <= k) | (F.col("score") >= F.col("kth") - F.lit(NOISE) * F.abs("kth")))
     # block products differ in their last bits by where a vector lay; one sum in one order gives equal vectors equal scores
