@@ -50,3 +50,24 @@ def test_odd_rows_and_no_labels(spark, odd, nothing):
         assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
         assert all(r.held_out for r in rows if r.doc_id is None)
     assert quality.classify(nothing, labels).count() == 0
+
+
+def test_fit_equals_brute_force(spark):
+    """Means, shrunk covariances and prior against numpy over all labelled rows at once, however they are dealt to tasks."""
+    rng = np.random.default_rng(4)
+    d = quality.D
+    y = rng.integers(0, 2, 300)
+    x = rng.normal(size=(300, d)) * (1 + y[:, None]) + y[:, None]
+    rows = [(int(k), [float(v) for v in z]) for k, z in zip(y, x)] + [(None, [0.0] * d), (7, [1.0] * d)]
+    m = quality.fit(spark.createDataFrame(rows, "quality int, f array<double>").repartition(5), 0.1, 1e-3)
+    own = [x[y == k] for k in (0, 1)]
+    cov = [np.cov(z.T, bias=True) for z in own]
+    pooled = sum(len(z) * c for z, c in zip(own, cov)) / len(x)
+    sd = np.sqrt(np.diag(pooled))
+    assert np.isclose(m.prior, (len(own[1]) + 1) / (len(x) + 2))
+    for k in (0, 1):
+        assert np.allclose(m.mean[k], (own[k].mean(0) - own[1].mean(0)) / sd)
+        c = (0.9 * cov[k] + 0.1 * pooled) / np.outer(sd, sd)
+        c = 0.9 * c + 0.1 * np.diag(np.diag(c)) + 1e-3 * np.eye(d)
+        assert np.allclose(m.inv[k].T @ m.inv[k], np.linalg.inv(c))
+        assert np.isclose(m.log_det[k], np.linalg.slogdet(c)[1])

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from varispan.llm import tokens
@@ -77,3 +78,18 @@ def test_odd_rows(odd, nothing, library, spark):
     assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
     assert {r.doc_id for r in sorted(rows, key=lambda r: r.start)[:2]} == {None}
     assert tokens.token_output(spark, nothing).count() == 0
+
+
+def test_a_tokenizer_of_another_kind_is_not_cut_to_words(spark):
+    """Byte-level ids depend on the spaces before words; texts then go to the library whole."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    assert tokens.parts_words(Tokenizer.from_file(tokens.default_tokenizer()))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    assert not tokens.parts_words(own)
+    texts = ["Some words,  and a line\nmore", "", None, "don't 12 é"]
+    ids, per = tokens.Encoder(path).encode(pa.array(texts, pa.string()))
+    want = [own.encode(t or "", add_special_tokens=False).ids + [tokens.END] for t in texts]
+    assert ids.tolist() == sum(want, []) and per.tolist() == [len(w) for w in want]

@@ -15,10 +15,12 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_tokens": tokens.op9_tokens,
     "op10_simhash": simhash.op10_simhash,
+    "urls_redirected": urlfilter.redirected_urls,
 }
 
 SQL: dict[str, str] = {
     "op2_urlfilter": urlfilter.SQL,
+    "urls_redirected": urlfilter.SQL_REDIRECTED,
     "op3_mixing": mixing.SQL,
     "op6_licences": licences.SQL,
 }
