@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 
 import pytest
 
@@ -171,7 +172,7 @@ def test_mixing_stage(spark, odd, nothing):
 
 # --- licences ---
 
-MIT, APACHE, GPL3 = (dict(licences.TEMPLATES)[k] for k in ("MIT", "Apache-2.0", "GPL-3.0"))
+MIT, APACHE, GPL3 = (dict(licences.STATEMENTS)[k] for k in ("MIT", "Apache-2.0", "GPL-3.0"))
 
 
 def test_headers_and_inheritance(spark):
@@ -193,6 +194,37 @@ def test_each_template_is_its_own_best(spark):
     assert got == {i: (name, 1.0) for i, (name, _) in enumerate(licences.TEMPLATES)}
 
 
+def wrapped(text, mark="# ", width=40):
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+FILLER = "alpha beta gamma delta " * 100
+FORMS = [
+    ("// SPDX-License-Identifier: Apache-2.0\n" + FILLER, "Apache-2.0"),
+    ("/* SPDX-License-Identifier: GPL-3.0-or-later */\n" + FILLER, "GPL-3.0"),
+    (FILLER + "this small library is released under the MIT Licence and comes with many more words on one line " + FILLER, "MIT"),
+    (wrapped(APACHE, " * ", 20) + "\n" + FILLER, "Apache-2.0"),
+    ("MIT License\n\nCopyright (c) 2020 Somebody\n\n" + wrapped(dict(licences.NOTICES[:1])["MIT"], "") + "\nTHE SOFTWARE IS PROVIDED AS IS", "MIT"),
+    *[(wrapped(text), name) for name, text in licences.NOTICES],
+    *[(FILLER + "\n" + wrapped(text, "; ", 70) + "\n" + FILLER, name) for name, text in licences.NOTICES],
+    ("# SPDX-License-Identifier: EPL-2.0\n" + FILLER, None),
+    ("We drove under the license plate of an old car, released into the public.", None),
+    ("Licensed under the Eclipse Public License, Version 2.0.", None),
+    ("Copyright 2020 Somebody. All rights reserved. " + FILLER, None),
+]
+
+
+def test_forms_of_licences(spark):
+    df = spark.createDataFrame([(i, f"{i}/f.c", t) for i, (t, _) in enumerate(FORMS)], "doc_id long, p string, text string")
+    got = {r.doc_id: r.licence for r in licences.scan(df, path="p").collect()}
+    assert {i: (got[i], t[:80]) for i, (t, name) in enumerate(FORMS) if got[i] != name} == {}
+
+
+def test_texts_of_one_file_are_not_mixed(spark):
+    df = spark.createDataFrame([(1, "a/f.c", MIT), (1, "a/f.c", FILLER), (1, "a/f.c", "copyright of a long line with nothing to say on any licence whatever")], "doc_id long, p string, text string")
+    assert {(r.licence, r.score) for r in licences.scan(df, path="p").collect()} == {("MIT", 1.0)}
+
+
 def test_licences_of_odd_rows(odd, nothing):
     assert licences.scan(odd).count() == odd.count()
     assert licences.scan(nothing).count() == 0
