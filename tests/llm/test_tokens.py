@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,19 @@ def test_grammar_round_trip_and_random_access(first_id):
         assert tokens.read_document(shard, i).tolist() == d.tolist()
 
 
+@pytest.mark.parametrize("first_id", [100, 70_000])
+def test_grammar_is_finished(first_id):
+    rng = np.random.default_rng(7)
+    ids = np.concatenate([np.repeat(rng.integers(2, 60, 400), rng.integers(1, 40, 400)), rng.zipf(1.5, 20_000) % 90, np.tile(np.arange(2, 50), 60)]).astype(np.uint32)
+    last = ids == 1
+    last[-1] = True
+    seq, end, rules = tokens.repair(ids, last, first_id)
+    assert (tokens.expand(seq, rules, tokens.rule_lengths(rules, first_id), first_id) == ids).all()
+    assert (rules[:, 0] == rules[:, 1]).any() and end.sum() == last.sum()
+    pairs = Counter((a, b) for a, b, e in zip(seq[:-1].tolist(), seq[1:].tolist(), end[:-1].tolist()) if not e)
+    assert max(pairs.values()) < 24
+
+
 def test_many_small_shards(spark, tmp_path, library):
     rows = [(i, f"shared words here {i} shared words here " * (i % 5)) for i in range(50)]
     path = f"file://{tmp_path}/shards"

@@ -140,12 +140,13 @@ def ragged(flat: np.ndarray, size: np.ndarray, order: np.ndarray) -> tuple[np.nd
     return gather(flat, np.concatenate([[0], np.cumsum(size)]), order)
 
 
-def repair(ids: np.ndarray, last: np.ndarray, first_id: int, rounds: int = 6, least: int = 24, most: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, last: np.ndarray, first_id: int, least: int = 24, most: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, which of them end a document, rules as pairs).
 
     Each round counts all pairs of neighbours, takes up to ``most`` of the most frequent (``least`` or more
     occurrences) so that no id is the left of one and the right of another, and replaces every
-    occurrence; nothing overlaps then, so a round equals as many single replacements. Rules start at
+    occurrence; nothing overlaps then but a pair of one id with itself, which is replaced from the left, so a round equals as many single replacements.
+    Rounds end when no pair is that frequent (a rule is 12 bytes, an occurrence saves 2 or 4) or no id is left. Rules start at
     ``first_id`` and stay under 2 ** 16 while ids do. Pairs across documents (``last``) are never joined.
     """
     wide = first_id >= 1 << 16
@@ -154,9 +155,7 @@ def repair(ids: np.ndarray, last: np.ndarray, first_id: int, rounds: int = 6, le
     rules: list[np.ndarray] = []
     made = 0
     limit = (1 << 32) - 1 - first_id if wide else (1 << 16) - first_id
-    for _ in range(rounds):
-        if len(seq) < 2 or made >= limit:
-            break
+    while len(seq) > 1 and made < limit:
         joint = ~end[:-1]
         if wide:
             key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
@@ -177,7 +176,7 @@ def repair(ids: np.ndarray, last: np.ndarray, first_id: int, rounds: int = 6, le
         shift, mask = (np.uint64(32), np.uint64((1 << 32) - 1)) if wide else (np.uint32(16), np.uint32((1 << 16) - 1))
         lefts, rights, taken = set(), set(), []
         for a, b in zip((pairs >> shift).tolist(), (pairs & mask).tolist()):
-            if a != b and a not in rights and b not in lefts:
+            if a not in rights and b not in lefts:
                 lefts.add(a)
                 rights.add(b)
                 taken.append((a, b))
@@ -199,8 +198,13 @@ def repair(ids: np.ndarray, last: np.ndarray, first_id: int, rounds: int = 6, le
         hit, right = hit[right > 0], right[right > 0]
         new = table[lrank[seq[hit]], right]
         made_here = (new > 0) & joint[hit]
-        hit = hit[made_here]
-        seq[hit] = new[made_here]
+        hit, new = hit[made_here], new[made_here]
+        if (pair[:, 0] == pair[:, 1]).any():
+            # only in a run of one id do places follow each other: every other one of them counts, from the left
+            begin = np.flatnonzero(np.diff(hit, prepend=-2) > 1)
+            rank = np.arange(len(hit)) - np.repeat(begin, np.diff(np.append(begin, len(hit))))
+            hit, new = hit[rank % 2 == 0], new[rank % 2 == 0]
+        seq[hit] = new
         end[hit] = end[hit + 1]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
