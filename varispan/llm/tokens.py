@@ -190,7 +190,7 @@ def repair(ids: np.ndarray, last: np.ndarray, first_id: int, least: int = 24, mo
         kind = np.int16 if most < 1 << 15 else np.int32
         lrank, rrank = np.zeros(top, kind), np.zeros(top, kind)
         lrank[ls], rrank[rs] = np.arange(1, len(ls) + 1), np.arange(1, len(rs) + 1)
-        table = np.zeros((len(ls) + 1, len(rs) + 1), np.uint32)
+        table = np.zeros((len(ls) + 1, len(rs) + 1), np.uint32 if wide else np.uint16)
         table[lrank[pair[:, 0]], rrank[pair[:, 1]]] = first_id + made + np.arange(len(pair))
         # only places whose id is some rule's left side are looked at further
         hit = np.flatnonzero(lrank[seq[:-1]])
