@@ -94,6 +94,69 @@ def test_short_items_of_common_words_are_found(spark):
     assert {(r.doc_id, r.item_id) for r in D.find(docs, bench).collect()} == want
 
 
+def settled(text, passages):
+    """Brute force: the best share of a passage's words in order over all runs of whole blocks of the text, by the table; answers at 0.6."""
+    t, out = words(text), {}
+    for item, p in passages:
+        size = 2 if len(p) < 30 else 4 if len(p) < 50 else 6
+        tail = p[-max(3, min(6, len(p) // 4)) :]
+        for at in range(0, len(t), D.BLOCK):
+            span = t[max(0, at - D.BLOCK) : at + (size + 1) * D.BLOCK]
+            share = lcs(p, span) / len(p)
+            if share >= 0.8 or share >= 0.6 and any(span[i : i + len(tail)] == tail for i in range(len(span))):
+                out[item] = max(out.get(item, 0), share)
+    return out
+
+
+@pytest.fixture(scope="module")
+def partly(spark):
+    """Documents that hold from half of an item to all of it, in order, with other words in place of the rest; every third one keeps the item's last words."""
+    rng = random.Random(21)
+    items = {k: passage(rng, n) for k, n in enumerate((24, 36, 60), 1)}
+    docs = {}
+    for k, w in items.items():
+        for i in range(24):
+            lost = rng.sample(range(len(w) - (6 if i % 3 == 0 else 0)), int(len(w) * rng.uniform(0, 0.5)))
+            part = [rng.choice(FILLER) if j in lost else x for j, x in enumerate(w)]
+            docs[100 * k + i] = " ".join(passage(rng, rng.randint(0, 25)) + part + passage(rng, rng.randint(0, 25)))
+    return docs, items
+
+
+def test_search_equals_brute_force(spark, partly):
+    docs, items = partly
+    got = {(r.doc_id, r.item_id): r.lcs for r in D.find(*tables(spark, docs, items)).collect()}
+    want = {(i, k): share for i, t in docs.items() for k, share in settled(t, [(k, words(" ".join(w))) for k, w in items.items()]).items()}
+    assert 20 < len(want) < len(docs) and set(got) == set(want)
+    assert all(got[key] <= want[key] + 1e-9 for key in got)
+
+
+def tables(spark, docs, items):
+    return spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+
+
+def test_parts_of_a_large_benchmark_give_the_same(spark, planted, odd):
+    """Several indexes find what one does, an item's passages in different ones, rows given twice, null ids and repeated items included."""
+    docs, bench, want = planted
+    twice = docs.union(docs.where("doc_id in (10, 90)")).union(docs.where("doc_id = 90").selectExpr("cast(null as long)", "text"))
+    again = bench.union(bench)
+    one, several = (sorted((r.doc_id or -1, r.item_id, r.lcs, r.answered) for r in D.find(twice, again, most=m).collect()) for m in (D.PASSAGES, 3))
+    assert one == several and len(one) == len(want) + 3
+    assert D.find(odd, bench, most=1).count() == 0
+
+
+def test_products_in_blocks_give_the_same(spark, planted, monkeypatch):
+    docs, bench, want = planted
+    df, n = D.document_frequencies(docs)
+    index = D.build_index(bench, np.log((1 + n) / (1 + df)) + 0.05)
+    texts = [r.text.encode() for r in docs.orderBy("doc_id").collect()]
+    _, _, row, h = D.words_of(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), D._KEEP)
+    kind = [np.flatnonzero(index.size < 30), np.flatnonzero((index.size >= 30) & (index.size < 50)), np.flatnonzero(index.size >= 50)]
+    found = lambda: sorted((d, p) for d, p, _ in D._candidates(row, h, len(texts), index, index.idf.astype(float) ** 2, kind, 0.5))
+    whole = found()
+    monkeypatch.setattr(D, "CELLS", 7)
+    assert whole and found() == whole
+
+
 def test_stage(spark, planted, monkeypatch, tmp_path):
     docs, bench, want = planted
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))

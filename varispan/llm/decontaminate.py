@@ -8,6 +8,7 @@ and compared by cosine; candidates are settled on the words themselves.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,15 @@ WINDOWS = (2, 4, 6)
 PART = BLOCK * max(WINDOWS)
 MIN_WORDS = 5
 RANK = 256
-#: Passages of fewer words are also sought by runs of MIN_WORDS of their words: common words weigh too little for the cosine of a window.
-SHORT = 30
+FOUND = "doc_id long, item_id long, cosine double, lcs double, answered boolean"
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _CHUNK = 1 << 19
+#: Passages in one index, which every task gets whole; a larger benchmark is searched in several.
+PASSAGES = 8192
+#: Features in one piece of a sum.
+SUM_ROWS = 1024
+#: Cells of a product of windows and passages that are held at once.
+CELLS = 1 << 22
 #: Everything that is not an ASCII letter or digit, or a byte of a longer UTF-8 character, parts words here.
 _KEEP = np.zeros(256, bool)
 _KEEP[48:58] = _KEEP[65:91] = _KEEP[97:123] = _KEEP[128:] = True
@@ -99,55 +105,76 @@ def _rows(words: list[np.ndarray], idf: np.ndarray):
         yield f, tf * idf[f]
 
 
-def build_index(benchmark: DataFrame, idf: np.ndarray, rank: int = RANK, oversample: int = 16, seed: int = 5, items_per_task: int = 5000) -> Index | None:
-    """Randomised SVD (Halko et al. 2011, one power step) of the benchmark's TF-IDF rows.
+def passage_rows(benchmark: DataFrame) -> DataFrame:
+    """(item_id, words) of every different passage; words are hashes, little-endian."""
+
+    def run(batches):
+        for b in batches:
+            made = [(i, h.astype("<u8").tobytes()) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for h in passages(t.encode())]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in made], pa.int64()), pa.array([h for _, h in made], pa.binary())], names=["item_id", "words"])
 
-    Two passes over the benchmark, each summing per task and then on the driver: A'(A G) for a Gaussian G,
-    whose QR gives Q, and (AQ)'(AQ), whose eigenvectors turn Q into the basis. Sums have at most
-    FEATURES x (rank + oversample) numbers, whatever the corpus; the benchmark is the stated query set.
-    """
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    items = rows.orderBy("item_id", "text").collect()
-    item, words = [], []
-    for r in items:
-        for h in passages(r.text.encode()):
-            item.append(r.item_id)
-            words.append(h)
-    if not words:
+    return arrow_map(rows, run, "item_id long, words binary").distinct()
+
+
+def build_index(benchmark: DataFrame, idf: np.ndarray, rank: int = RANK, oversample: int = 16, seed: int = 5, items_per_task: int = 512) -> Index | None:
+    """The index of all passages of ``benchmark``; None if it has none."""
+    return index_of(passage_rows(benchmark), idf, rank, oversample, seed, items_per_task)
+
+
+def index_of(rows: DataFrame, idf: np.ndarray, rank: int = RANK, oversample: int = 16, seed: int = 5, per_task: int = 512) -> Index | None:
+    """Randomised SVD (Halko et al. 2011, one power step) of the TF-IDF rows of ``passage_rows``.
+
+    Two passes: A'(A G) for a Gaussian G, whose QR gives Q, and (AQ)'(AQ), whose eigenvectors turn Q into the basis.
+    A task holds the features of its own ``per_task`` passages alone and hands its sums on in pieces of SUM_ROWS features,
+    which are added up by piece before any reach the driver. There, and in the index that tasks get, are at most PASSAGES passages
+    and FEATURES x (rank + oversample) numbers: ``find`` splits a larger benchmark.
+    """
+    got = rows.orderBy("item_id", "words").collect()
+    if not got:
         return None
-    tasks = max(1, len(items) // items_per_task)
+    item, words = [r.item_id for r in got], [np.frombuffer(r.words, "<u8") for r in got]
     used = np.unique(np.concatenate([feature(h) for h in words]))
     slot = np.full(FEATURES, -1, np.int32)
     slot[used] = np.arange(len(used))
     k = min(rank + oversample, len(words), len(used))
-    spread = rows.repartition(tasks)
+    tasks = -(-len(words) // per_task)
+    spread = rows.repartition(tasks, "item_id", "words")
 
     def own(batches):
-        for b in batches:
-            for t in b.column(1):
-                yield from _rows(passages(t.as_py().encode()), idf)
+        return [(slot[f], w) for b in batches for f, w in _rows([np.frombuffer(x, "<u8") for x in b.column(1).to_pylist()], idf)]
 
     def sketch(batches):
         g = np.random.default_rng(seed).standard_normal((len(used), k)).astype(np.float32)
-        total = np.zeros((len(used), k))
-        for f, w in own(batches):
-            total[slot[f]] += np.outer(w, w @ g[slot[f]])
-        yield pa.RecordBatch.from_pydict({"m": [total.astype("<f8").tobytes()]})
+        mine = own(batches)
+        at = np.unique(np.concatenate([f for f, _ in mine])) if mine else np.zeros(0, np.int64)
+        total = np.zeros((len(at), k))
+        for f, w in mine:
+            total[np.searchsorted(at, f)] += np.outer(w, w @ g[f])
+        for piece in np.unique(at // SUM_ROWS):
+            part = np.zeros((min(SUM_ROWS, len(used) - piece * SUM_ROWS), k))
+            here = at // SUM_ROWS == piece
+            part[at[here] - piece * SUM_ROWS] = total[here]
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "m": [part.astype("<f8").tobytes()]})
 
     def gram(batches):
-        total = np.zeros((k, k))
-        for f, w in own(batches):
-            z = w @ q[slot[f]]
-            total += np.outer(z, z)
-        yield pa.RecordBatch.from_pydict({"m": [total.astype("<f8").tobytes()]})
+        z = np.array([w @ q[f] for f, w in own(batches)], np.float64).reshape(-1, k)
+        yield pa.RecordBatch.from_pydict({"piece": pa.array([0], pa.int32()), "m": [(z.T @ z).astype("<f8").tobytes()]})
 
-    def add(run, shape):
-        return sum(np.frombuffer(r.m, "<f8").reshape(shape) for r in arrow_map(spread, run, "m binary").toLocalIterator())
+    def add(table: pa.Table) -> pa.Table:
+        parts = table.column("m").to_pylist()
+        return pa.table({"piece": table.column("piece")[:1], "m": [sum(np.frombuffer(m, "<f8") for m in parts).tobytes()]})
 
-    q = np.linalg.qr(add(sketch, (len(used), k)))[0]
-    value, vector = np.linalg.eigh(add(gram, (k, k)))
+    def sums(run, out):
+        for r in arrow_map(spread, run, "piece int, m binary").groupBy("piece").applyInArrow(add, "piece int, m binary").toLocalIterator():
+            m = np.frombuffer(r.m, "<f8").reshape(-1, k)
+            out[r.piece * SUM_ROWS : r.piece * SUM_ROWS + len(m)] = m
+        return out
+
+    q = np.linalg.qr(sums(sketch, np.zeros((len(used), k), np.float32)))[0]
+    value, vector = np.linalg.eigh(sums(gram, np.zeros((k, k))))
     top = np.argsort(-value)[: min(rank, k)]
-    basis = (q @ vector[:, top]).astype(np.float32)
+    basis = q @ vector[:, top].astype(np.float32)
     latent = np.stack([w @ basis[slot[f]] for f, w in _rows(words, idf)]).astype(np.float64)
     norm = np.array([np.sqrt((w**2).sum()) for _, w in _rows(words, idf)])
     # A window x that holds passage q has <x, q> of about |q|^2 and keeps only |latent q|^2 of it in the basis: the score is scaled back by that share.
@@ -184,10 +211,10 @@ def run_hashes(h: np.ndarray) -> np.ndarray:
 
 
 class Runs:
-    """The runs of MIN_WORDS words of the passages under SHORT words."""
+    """The runs of MIN_WORDS words of the passages: what many documents share weighs too little for the cosine of a window."""
 
     def __init__(self, index: Index):
-        at = [(p, run_hashes(index.words[p])) for p in np.flatnonzero(index.size < SHORT)]
+        at = [(p, run_hashes(h)) for p, h in enumerate(index.words)]
         key = np.concatenate([g for _, g in at]) if at else np.zeros(0, np.uint64)
         passage = np.repeat([p for p, _ in at], [len(g) for _, g in at]).astype(np.int64)
         place = np.concatenate([np.arange(len(g)) for _, g in at]) if at else passage
@@ -216,8 +243,8 @@ class Runs:
         yield from np.unique(spans, axis=1).T.tolist()
 
 
-def search(docs: DataFrame, index: Index, least_cosine: float = 0.5, most_alike: float = 0.8, alike: float = 0.6) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs, answered) of every document and item found together."""
+def search(docs: DataFrame, index: Index, least_cosine: float = 0.5, most_alike: float = 0.8, alike: float = 0.6, keyed: bool = False) -> DataFrame:
+    """(doc_id, item_id, cosine, lcs, answered) of every document and item found together; ``keyed`` adds the text's digest."""
     kind = np.where(index.size < 30, 0, np.where(index.size < 50, 1, 2))
     by_kind = [np.flatnonzero(kind == c) for c in range(3)]
     weight = index.idf.astype(np.float64) ** 2
@@ -244,8 +271,9 @@ def search(docs: DataFrame, index: Index, least_cosine: float = 0.5, most_alike:
                         if (i + d, int(index.item[p])) not in near:
                             settle(best, i + d, p, cosine(h[lo:hi], index.words[p]), h[lo:hi].tolist(), masks, answers)
             keys = list(best)
-            ids = b.column(0).take(pa.array([k[0] for k in keys], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([k[1] for k in keys], pa.int64()), pa.array([best[k][0] for k in keys], pa.float64()), pa.array([best[k][1] for k in keys], pa.float64()), pa.array([best[k][2] for k in keys], pa.bool_())], names=["doc_id", "item_id", "cosine", "lcs", "answered"])
+            at = pa.array([k[0] for k in keys], pa.int64())
+            out = pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([k[1] for k in keys], pa.int64()), pa.array([best[k][0] for k in keys], pa.float64()), pa.array([best[k][1] for k in keys], pa.float64()), pa.array([best[k][2] for k in keys], pa.bool_())], names=["doc_id", "item_id", "cosine", "lcs", "answered"])
+            yield out.append_column("digest", b.column(2).take(at)) if keyed else out
 
     def cosine(x, y):
         (f, v), (g, w) = _rows([x, y], index.idf.astype(np.float64))
@@ -265,8 +293,9 @@ def search(docs: DataFrame, index: Index, least_cosine: float = 0.5, most_alike:
             if old is None or new > (old[1], old[0], old[2]):
                 best[key] = (cos, lcs, answered)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, run, "doc_id long, item_id long, cosine double, lcs double, answered boolean")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *([F.md5(text).alias("digest")] if keyed else []))
+    return arrow_map(rows, run, FOUND + (", digest string" if keyed else ""))
 
 
 def _candidates(row, h, n_docs, index, weight, by_kind, least):
@@ -311,30 +340,47 @@ def _candidates(row, h, n_docs, index, weight, by_kind, least):
     for (good, end, norm), own in zip(windows, by_kind):
         if not len(good):
             continue
-        cos = (vec[end] - vec[good]) @ index.latent[own].T / norm[:, None]
-        for x, y in zip(*np.nonzero(cos >= least)):
-            d = int(owner[good[x]])
-            lo = max(int(first[d]), int(begin[good[x]]) - BLOCK)
-            last = int(begin[end[x]]) if end[x] < n else len(h)
-            hi = min(int(first[d + 1]), last + BLOCK)
-            yield (d, lo, hi), int(own[y]), float(cos[x, y])
-
-
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+        latent = index.latent[own].T
+        step = max(1, CELLS // len(own))
+        for s in range(0, len(good), step):
+            from_, to = good[s : s + step], end[s : s + step]
+            cos = (vec[to] - vec[from_]) @ latent / norm[s : s + step, None]
+            for x, y in zip(*np.nonzero(cos >= least)):
+                d = int(owner[from_[x]])
+                lo = max(int(first[d]), int(begin[from_[x]]) - BLOCK)
+                last = int(begin[to[x]]) if to[x] < n else len(h)
+                hi = min(int(first[d + 1]), last + BLOCK)
+                yield (d, lo, hi), int(own[y]), float(cos[x, y])
+
+
+def find(docs: DataFrame, benchmark: DataFrame, most: int = PASSAGES) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, cosine, lcs, answered.
 
     lcs is the longest common subsequence over the item's (passage's) words; found means 0.8 or more, or 0.6 or
-    more with the item's last words in one run. Candidates are windows by cosine and, for items of under SHORT words, spans
-    with a run of five of the item's words, so no whole copy of such an item is missed; an altered copy that keeps no
-    such run still goes by the cosine alone. Items of under five words can't be told from chance and are not searched; null items and ids neither. Null and empty texts hold nothing. Repeated rows are each reported;
-    other columns are ignored; an empty table on either side gives an empty result.
+    more with the item's last words in one run. Candidates are windows by cosine, and spans with a run of five of the item's
+    words: no whole copy is missed, nor, from items of 20 words on, an altered one that keeps the last words, even where so
+    many documents hold an item that its words weigh little. An altered copy that keeps no such run goes by the cosine alone. Items of under five words can't be told from chance and are not searched; null items and ids neither. Null and empty texts hold nothing. Repeated rows are each reported;
+    other columns are ignored; an empty table on either side gives an empty result. A benchmark of over ``most`` passages is
+    searched in parts, one scan of the documents each, so that what tasks and driver hold does not grow with it.
     """
     df, n = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + df)) + 0.05
-    index = build_index(benchmark, idf)
-    if index is None:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("double").alias("cosine"), F.lit(None).cast("double").alias("lcs"), F.lit(None).cast("boolean").alias("answered")).where("false")
-    return search(docs, index)
+    scratch = Scratch(docs.sparkSession, "passages")
+    rows = scratch.save(passage_rows(benchmark))
+    parts = -(-rows.count() // most)
+    if parts <= 1:
+        index = index_of(rows, idf)
+        return search(docs, index) if index is not None else docs.sparkSession.createDataFrame([], FOUND)
+    # Passages are dealt by hash, so a part has about half of ``most`` or more, never much above it; each part's result is written before the next index is made.
+    place = F.pmod(F.xxhash64("item_id", "words"), F.lit(parts))
+    found = [scratch.save(_keyed(search(docs, index_of(rows.where(place == p), idf), keyed=True)), "found") for p in range(parts) if not rows.where(place == p).isEmpty()]
+    every = reduce(DataFrame.unionByName, found).groupBy("doc_id", "digest", "item_id").agg(F.max("best").alias("best"), F.max("n").alias("n"))
+    return every.select("doc_id", "item_id", "best.cosine", "best.lcs", "best.answered", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("col")
+
+
+def _keyed(found: DataFrame) -> DataFrame:
+    """A part's best per text and item, with the number of equal rows that gave it."""
+    return found.groupBy("doc_id", "digest", "item_id").agg(F.max(F.struct("lcs", "cosine", "answered")).alias("best"), F.count("*").alias("n"))
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
