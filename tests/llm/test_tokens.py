@@ -107,3 +107,17 @@ def test_a_tokenizer_of_another_kind_is_not_cut_to_words(spark):
     ids, per = tokens.Encoder(path).encode(pa.array(texts, pa.string()))
     want = [own.encode(t or "", add_special_tokens=False).ids + [tokens.END] for t in texts]
     assert ids.tolist() == sum(want, []) and per.tolist() == [len(w) for w in want]
+
+
+def test_words_joined_by_a_mark_have_their_own_ids():
+    """Joined calls, calls of one word and the library agree, special tokens and parts of them in words included; a tokenizer with other added tokens gets no mark."""
+    enc, alone = (tokens.Encoder(tokens.default_tokenizer()) for _ in range(2))
+    assert enc.mark is not None
+    alone.mark = None
+    texts = ["<|endoftext|>", None, "", "a<|endoftext|>b <|x <", "<<|endoftext|", "|> x|> <|", "é" * 50 + "<|startoftext|>", *(f"word{i}, Straße{i}! ½ don't" for i in range(700))]
+    want = [[*enc.tok.encode(x or "", add_special_tokens=False).ids, tokens.END] for x in texts]
+    for e in (enc, alone):
+        ids, per = e.encode(pa.array(texts))
+        assert ids.tolist() == [i for w in want for i in w] and per.tolist() == [len(w) for w in want]
+    enc.tok.add_special_tokens(["[SEP]"])
+    assert tokens.word_mark(enc.tok) is None

@@ -8,6 +8,8 @@ that Spark writes, so the commit protocol covers lost executors and any Hadoop f
 
 from __future__ import annotations
 
+import ctypes
+import os
 import zlib
 from itertools import chain, repeat
 
@@ -23,7 +25,7 @@ from .common import Scratch, arrow_map
 END = 1
 SHARD_SCHEMA = "part int, base long, first_id int, doc_id array<long>, n_tokens array<long>, first_symbol array<long>, rules binary, rule_length binary, symbols binary"
 SHARD_IDS = 4_000_000
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 6 << 20
 #: Words whose ids a Python worker remembers; the store starts anew when full.
 CACHE_WORDS = 800_000
 
@@ -48,6 +50,18 @@ def parts_words(tok) -> bool:
     )
 
 
+def word_mark(tok) -> tuple[str, int] | None:
+    """A special token, with its id, that parts words without a trace: tried on all pairs of a few words. None unless all added tokens begin with "<|"."""
+    ids = lambda t: tok.encode(t, add_special_tokens=False).ids
+    added = tok.get_added_tokens_decoder()
+    if any(not t.content.startswith("<|") for t in added.values()):
+        return None
+    for mark, t in added.items():
+        if all(ids(v + t.content + w + t.content) == [*ids(v), mark, *ids(w), mark] for v in (*_PROBE, "", "<", "|>") for w in (*_PROBE, "", "<", "|>")):
+            return t.content, mark
+    return None
+
+
 class Encoder:
     """Ids of whole texts, equal to the library's own.
 
@@ -59,15 +73,33 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # Tasks fill the cores already; the library's own threads would only add to the time and memory of each.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
         self.size = self.tok.get_vocab_size()
         self.by_piece = parts_words(self.tok)
+        self.mark = word_mark(self.tok) if self.by_piece else None
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word by itself, end to end, and their numbers; a hundred words are one call, with a special token between them."""
+        if self.mark is not None and not any("<|" in w for w in words):
+            text, mark = self.mark
+            calls = [text.join(words[i : i + 100]) + text for i in range(0, len(words), 100)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(calls, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == mark)
+            return ids[ids != mark], np.diff(ends, prepend=-1) - 1
+        if self.mark is not None and len(words) > 1:
+            half = len(words) // 2
+            (a, m), (b, n) = self._alone(words[:half]), self._alone(words[half:])
+            return np.concatenate([a, b]), np.concatenate([m, n])
+        found = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
     def _places(self, pieces: pa.Array) -> np.ndarray:
         """Where each piece's ids are in the store: run i is flat[at[i] : at[i + 1]]. Pieces may repeat."""
         code = pc.dictionary_encode(pieces)
@@ -79,16 +111,11 @@ class Encoder:
         fresh = np.flatnonzero(place < 0)
         if len(fresh):
             new = [words[i] for i in fresh.tolist()]
-            flat: list[int] = []
-            size: list[int] = []
-            for i in range(0, len(new), 20_000):
-                for e in self.tok.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False):
-                    ids = e.ids
-                    flat += ids
-                    size.append(len(ids))
+            made = [self._alone(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]
+            flat, size = (np.concatenate(x) for x in zip(*made))
             place[fresh] = np.arange(len(known), len(known) + len(new))
             known.update(zip(new, range(len(known), len(known) + len(new))))
-            self.flat = np.concatenate([self.flat, np.array(flat, np.uint32)])
+            self.flat = np.concatenate([self.flat, flat])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
         return place[code.indices.to_numpy(zero_copy_only=False)]
 
@@ -125,6 +152,14 @@ class Encoder:
         return out, per
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker lives on between tasks, and what its allocators keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def gather(flat: np.ndarray, at: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs ``order`` of the runs flat[at[i] : at[i + 1]], end to end, and their sizes."""
     size = (at[1:] - at[:-1])[order]
@@ -282,12 +317,15 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
                 held.append((b.column(0).slice(i, j - i), ids, per))
                 size += len(ids)
                 i = j
+                give_back()
                 if size >= shard_ids:
                     out, n = shard()
                     yield out
+                    give_back()
                     base, size = base + n, 0
         if held:
             yield shard()[0]
+            give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     arrow_map(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"), run, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
