@@ -187,6 +187,24 @@ def test_basis_explains_the_benchmark(spark, planted):
     assert np.allclose(own @ own.T, dense @ dense.T, rtol=1e-3, atol=1e-2)
 
 
+def test_tasks_hand_on_rows_of_their_own_features(spark, planted, monkeypatch):
+    """What is added up follows the passages' features, in however many tasks they are."""
+    _, bench, _ = planted
+    idf, sent, plain = np.ones(D.FEATURES), [], D.arrow_map
+    scratch = D.Scratch(spark, "t")
+
+    def kept(df, run, schema):
+        sent.append(scratch.save(plain(df, run, schema)))
+        return sent[-1]
+
+    monkeypatch.setattr(D, "arrow_map", kept)
+    index = D.build_index(bench, idf, items_per_task=1)
+    k = min(len(index.words), D.RANK + 16)
+    sketch, gram = (sum(len(r.m) for r in t.select("m").collect()) for t in sent if "piece" in t.columns)
+    assert 0 < sketch <= 8 * k * sum(len(f) for f, _ in D._rows(index.words, idf))
+    assert 0 < gram <= 8 * k * k * len(index.words)
+
+
 def test_frequencies_count_passages(spark):
     text = " ".join(["same"] * 130)
     df, n = D.document_frequencies(spark.createDataFrame([(1, text), (2, "same other"), (3, None), (4, "")], "doc_id long, text string"))

@@ -29,8 +29,8 @@ _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x
 _CHUNK = 1 << 19
 #: Passages in one index, which every task gets whole; a larger benchmark is searched in several.
 PASSAGES = 8192
-#: Features in one piece of a sum.
-SUM_ROWS = 1024
+#: Features in one piece of a sum; rows in one of the small square sum.
+SUM_ROWS, GRAM_ROWS = 1024, 32
 #: Cells of a product of windows and passages that are held at once.
 CELLS = 1 << 22
 #: Everything that is not an ASCII letter or digit, or a byte of a longer UTF-8 character, parts words here.
@@ -126,8 +126,8 @@ def index_of(rows: DataFrame, idf: np.ndarray, rank: int = RANK, oversample: int
     """Randomised SVD (Halko et al. 2011, one power step) of the TF-IDF rows of ``passage_rows``.
 
     Two passes: A'(A G) for a Gaussian G, whose QR gives Q, and (AQ)'(AQ), whose eigenvectors turn Q into the basis.
-    A task holds the features of its own ``per_task`` passages alone and hands its sums on in pieces of SUM_ROWS features,
-    which are added up by piece before any reach the driver. There, and in the index that tasks get, are at most PASSAGES passages
+    A task holds the features of its own ``per_task`` passages alone and hands on their rows, no others, in pieces of SUM_ROWS features,
+    which are added up by piece before any reach the driver. So what meets in a piece follows the passages, in however many tasks they are. There, and in the index that tasks get, are at most PASSAGES passages
     and FEATURES x (rank + oversample) numbers: ``find`` splits a larger benchmark.
     """
     got = rows.orderBy("item_id", "words").collect()
@@ -144,31 +144,40 @@ def index_of(rows: DataFrame, idf: np.ndarray, rank: int = RANK, oversample: int
     def own(batches):
         return [(slot[f], w) for b in batches for f, w in _rows([np.frombuffer(x, "<u8") for x in b.column(1).to_pylist()], idf)]
 
+    def pieces(at, m, many):
+        for p in np.unique(at // many):
+            here = at // many == p
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([p], pa.int32()), "at": [at[here].astype("<i4").tobytes()], "m": [m[here].astype("<f8").tobytes()]})
+
     def sketch(batches):
-        g = np.random.default_rng(seed).standard_normal((len(used), k)).astype(np.float32)
         mine = own(batches)
-        at = np.unique(np.concatenate([f for f, _ in mine])) if mine else np.zeros(0, np.int64)
-        total = np.zeros((len(at), k))
-        for f, w in mine:
-            total[np.searchsorted(at, f)] += np.outer(w, w @ g[f])
-        for piece in np.unique(at // SUM_ROWS):
-            part = np.zeros((min(SUM_ROWS, len(used) - piece * SUM_ROWS), k))
-            here = at // SUM_ROWS == piece
-            part[at[here] - piece * SUM_ROWS] = total[here]
-            yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "m": [part.astype("<f8").tobytes()]})
+        if mine:
+            g = np.random.default_rng(seed).standard_normal((len(used), k)).astype(np.float32)
+            at = np.unique(np.concatenate([f for f, _ in mine]))
+            total = np.zeros((len(at), k))
+            for f, w in mine:
+                total[np.searchsorted(at, f)] += np.outer(w, w @ g[f])
+            yield from pieces(at, total, SUM_ROWS)
 
     def gram(batches):
-        z = np.array([w @ q[f] for f, w in own(batches)], np.float64).reshape(-1, k)
-        yield pa.RecordBatch.from_pydict({"piece": pa.array([0], pa.int32()), "m": [(z.T @ z).astype("<f8").tobytes()]})
+        mine = own(batches)
+        if mine:
+            z = np.array([w @ q[f] for f, w in mine], np.float64)
+            yield from pieces(np.arange(k), z.T @ z, GRAM_ROWS)
 
     def add(table: pa.Table) -> pa.Table:
-        parts = table.column("m").to_pylist()
-        return pa.table({"piece": table.column("piece")[:1], "m": [sum(np.frombuffer(m, "<f8") for m in parts).tobytes()]})
+        # views of the table's own bytes: a sum holds no copy of what it adds up
+        parts = [(np.frombuffer(a.as_buffer(), "<i4"), np.frombuffer(m.as_buffer(), "<f8").reshape(-1, k)) for a, m in zip(table.column("at"), table.column("m"))]
+        at = np.unique(np.concatenate([a for a, _ in parts]))
+        total = np.zeros((len(at), k))
+        for a, m in parts:
+            total[np.searchsorted(at, a)] += m
+        return pa.table({"piece": table.column("piece")[:1], "at": [at.astype("<i4").tobytes()], "m": [total.astype("<f8").tobytes()]})
 
     def sums(run, out):
-        for r in arrow_map(spread, run, "piece int, m binary").groupBy("piece").applyInArrow(add, "piece int, m binary").toLocalIterator():
-            m = np.frombuffer(r.m, "<f8").reshape(-1, k)
-            out[r.piece * SUM_ROWS : r.piece * SUM_ROWS + len(m)] = m
+        form = "piece int, at binary, m binary"
+        for r in arrow_map(spread, run, form).groupBy("piece").applyInArrow(add, form).toLocalIterator():
+            out[np.frombuffer(r.at, "<i4")] = np.frombuffer(r.m, "<f8").reshape(-1, k)
         return out
 
     q = np.linalg.qr(sums(sketch, np.zeros((len(used), k), np.float32)))[0]
