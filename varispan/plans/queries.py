@@ -5,6 +5,7 @@ Sequences are the ACGT letters of ``documents.text`` labelled by language; varia
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ INGROUP = ["en"]
 SIZES = (5, 1, 2)
 FIND = ["ACGTA", "TTGCA"]
 STEP = 40
+BLOCK = 4096
 FILTERS = V.VariantFilters(min_samples=3, min_samp_prop=0.7, min_reads=5, min_geno_qual=30)
 
 
@@ -168,8 +170,10 @@ def call_rows(spark, d) -> DataFrame:
 
 
 def grouped(spark, d) -> DataFrame:
-    rows = call_rows(spark, d)
-    return V.group_variants(rows, gt(spark, d).select("sample", "grp").distinct(), FILTERS)
+    # samples and their groups are few, as in a file's header, and are told once: else each table made of them reads the calls again
+    members = gt(spark, d).select("sample", "grp").distinct().collect()
+    names = [r.sample for r in members if r.sample is not None]
+    return V.group_variants(call_rows(spark, d), spark.createDataFrame(members, "sample string, grp string"), FILTERS, names)
 
 
 def j09(spark, d):
@@ -239,9 +243,13 @@ def q01(spark, d):
 
 def r04(spark, d):
     """Verdicts on windows of sites STEP bases apart, from calls to primer design; found regions with and without primers count as one kind."""
-    rows = grouped(spark, d).withColumn("pos", (F.expr("(pos - 1) div 2") * STEP + 1).cast("int"))
+    rows = grouped(spark, d).withColumn("pos", (F.expr("(pos - 1) div 2") * STEP + 1).cast("int")).select(*R.READ).persist(StorageLevel.MEMORY_AND_DISK)
     longest = rows.groupBy("chrom").agg(F.max("pos").alias("n"))
-    reference = longest.select("chrom", F.array_join(F.transform(F.sequence(F.lit(0), F.expr("n div 32")), lambda i: F.translate(F.md5(F.concat("chrom", i.cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGT")), "").alias("seq"))
+    # made in blocks on all cores: a chromosome's letters in one row took a single task a minute for 24 million bases
+    runs = longest.select("chrom", F.expr("n div 32").alias("n")).select("chrom", "n", F.explode(F.sequence(F.lit(0), "n", F.lit(BLOCK))).alias("at")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chrom", "at")
+    letters = F.array_join(F.transform(F.sequence("at", F.least("n", F.col("at") + (BLOCK - 1))), lambda i: F.md5(F.concat("chrom", i.cast("string")))), "")
+    blocks = runs.select("chrom", F.struct("at", F.translate(letters, "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq")).alias("x"))
+    reference = blocks.groupBy("chrom").agg(F.array_join(F.array_sort(F.collect_list("x"))["seq"], "").alias("seq"))
     found = R.find_regions(rows, reference, R.RegionOptions(tile=8000, halo=2000))
     return found.select("chrom", F.col("group").alias("grp"), F.col("pos").cast("long").alias("pos"), F.when(F.col("type").isin("Diagnostic", "No primers"), "Region").otherwise(F.col("type")).alias("type"))
 
