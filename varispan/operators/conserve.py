@@ -22,15 +22,35 @@ def count_amplicons(rows: DataFrame) -> DataFrame:
     return rows.groupBy("l", "r", "d", "label", "file").agg(F.count("*").alias("n"))
 
 
+#: K-mers of up to so many bases are counted on one strand before they are split: there are 4 ** FEW of them at most to a file.
+FEW = 12
+
+
+def amplicon_counts(sequences: DataFrame, left: int, diag: int, right: int, omit_soft: bool = False) -> DataFrame:
+    """``count_amplicons`` of ``split_kmers``. Where k-mers are short, complements and parts are made of each different one alone, not of each occurrence."""
+    k = left + diag + right
+    if k > FEW:
+        return count_amplicons(split_kmers(sequences, left, diag, right, omit_soft))
+    one = kmers(sequences.select("file", "label", "seq"), KmerSpec(k=k, omit_soft=omit_soft, map_soft=not omit_soft))
+    counted = one.groupBy("kmer", "label", "file").agg(F.count("*").alias("n"))
+    both = kmers(counted, KmerSpec(complements=True, disallow="Nn"), "kmer")
+    m = F.col("kmer")
+    parts = both.select("file", "label", F.substring(m, 1, left).alias("l"), F.substring(m, left + 1, diag).alias("d"), F.substring(m, left + diag + 1, right).alias("r"), "n")
+    return parts.groupBy("l", "r", "d", "label", "file").agg(F.sum("n").alias("n"))
+
+
 #: Files to a word of the mask of a key's files.
 WORD = 63
 
 
 def in_all_files(counted: DataFrame, files: list[str]) -> DataFrame:
-    """(l, r) of the keys found in all ``files``: masks of files are joined map-side, so what most keys bring to the shuffle is one row a task."""
+    """(l, r) of the keys found in all ``files``: masks of files are joined map-side, so what most keys bring to the shuffle is one row a task.
+
+    ``n`` is looked at so that no column of ``counted`` is pruned here: its shuffle is then the same as that of the rows, and is made once.
+    """
     number = F.element_at(F.create_map(*[F.lit(x) for i, f in enumerate(files) for x in (f, i)]), F.col("file"))
     words = range(0, len(files), WORD)
-    bit = lambda w: F.when(number.between(w, w + WORD - 1), F.call_function("shiftleft", F.lit(1).cast("long"), number - w))
+    bit = lambda w: F.when(number.between(w, w + WORD - 1) & (F.col("n") > 0), F.call_function("shiftleft", F.lit(1).cast("long"), number - w))
     masks = counted.groupBy("l", "r").agg(*[F.bit_or(bit(w)).alias(f"_m{w}") for w in words])
     for w in words:
         masks = masks.where(F.col(f"_m{w}") == (1 << min(WORD, len(files) - w)) - 1)

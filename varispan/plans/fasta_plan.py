@@ -18,7 +18,7 @@ from ..sources.fasta import files_of, label_of, read_sequences
 def regions(sequences: DataFrame, files: list[str], sizes: tuple[int, int, int], ingroup: list[str], has_outgroup: bool, omit_soft: bool = False) -> DataFrame:
     """l, r, amplicons, left_seq, diag_seq, right_seq of each region. ``sequences``: file, label, seq; ``files``: all values of file. Without a diagnostic part nothing is tested."""
     left, diag, right = sizes
-    found = C.conserved(C.count_amplicons(C.split_kmers(sequences, left, diag, right, omit_soft)), files)
+    found = C.conserved(C.amplicon_counts(sequences, left, diag, right, omit_soft), files)
     if diag > 0:
         found = C.diagnostic(found, ingroup)
     return C.csv_rows(found, ingroup if has_outgroup else None)
