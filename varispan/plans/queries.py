@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import alphabet as A
 from ..functions import thermo as T
 from ..operators import conserve as C
+from ..operators import primers as P
 from ..operators import regions as R
 from ..operators import search as S
 from ..operators import variants as V
@@ -264,10 +265,8 @@ def p01_tm(spark, d):
 
 def p01_pair(spark, d):
     """Usable 20-mers by document: within temperature and GC limits, a G or C at the end, no run of five."""
-    m = F.col("kmer")
-    found = kmers(sequences(spark, d).select("doc_id", "seq"), KmerSpec(k=20))
-    ok = found.where(A.gc_percent(m).between(40, 70) & m.rlike("[GC]$") & ~m.rlike("A{5}|C{5}|G{5}|T{5}")).where(T.tm_column(m).between(53, 68))
-    return ok.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.min(T.penalty_column(T.tm_column(m), F.lit(20))), 6).alias("least_penalty"))
+    found = P.usable_kmers(sequences(spark, d).select("doc_id", "seq"), 20, P.PrimerOptions(max_end_gc=5))
+    return found.groupBy("doc_id").agg(F.sum("n").alias("n"), F.round(F.min("least_penalty"), 6).alias("least_penalty"))
 
 
 def flagship(spark, d):
