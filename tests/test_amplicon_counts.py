@@ -23,3 +23,13 @@ def test_kmers_are_cut_once(spark):
     found = C.conserved(C.amplicon_counts(df, 2, 1, 2), ["f", "g", "h"])
     assert found.collect()
     assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["a05_unique_cols", "a07_consensus"])
+def test_registered_queries_complement_different_kmers_alone(spark, name):
+    """Complements are made above the first count, not of each k-mer of each document."""
+    from varispan.plans import queries as Q
+
+    plan = Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = [i for i, line in enumerate(plan) if "Generate explode(array(" in line]
+    assert made and all(any("Aggregate [kmer" in line for line in plan[i + 1 : i + 5]) for i in made)
